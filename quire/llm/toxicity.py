@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +44,14 @@ def maximal_segments(place: np.ndarray, score: np.ndarray, drift: float) -> list
 
     `place` has the positions, ascending, of the tokens that have a score of their own.
     """
-    gap = np.diff(np.concatenate([[-1], place])) - 1
-    before = np.cumsum(score - drift * gap) - score
-    after = before + score
+    if not len(place):
+        return []
+    gap = np.diff(place, prepend=-1) - 1
+    after = np.cumsum(score - drift * gap)
+    good = score > 0
     stack: list[list[float]] = []  # first, last, sum before, sum after
-    for i in np.flatnonzero(score > 0):
-        own = [place[i], place[i], before[i], after[i]]
+    for p, x, y in zip(place[good].tolist(), (after - score)[good].tolist(), after[good].tolist(), strict=True):
+        own = [p, p, x, y]
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= own[2]:
@@ -58,7 +61,7 @@ def maximal_segments(place: np.ndarray, score: np.ndarray, drift: float) -> list
             own = [stack[j][0], own[1], stack[j][2], own[3]]
             del stack[j:]
         stack.append(own)
-    return [(int(a), int(b), float(y - x)) for a, b, x, y in stack]
+    return [(a, b, y - x) for a, b, x, y in stack]
 
 
 @dataclass
@@ -78,15 +81,24 @@ class ToxicityModel:
     def own_scores(self, word: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, scores) of the tokens that do not simply cost drift."""
         score = np.full(len(word), -self.drift)
-        for keys, values, h in ((self.stems, self.stem_scores, stem), (self.words, self.word_scores, word)):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[at] == h
-                score[hit] = values[at[hit]]
+        for keys, values, h, filled in ((self.stems, self.stem_scores, stem, self.filled[0]), (self.words, self.word_scores, word, self.filled[1])):
+            maybe = np.flatnonzero(filled[(h >> _U(44)).astype(np.int64)])
+            if len(maybe):
+                at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
+                hit = keys[at] == h[maybe]
+                score[maybe[hit]] = values[at[hit]]
         score[1:][word[1:] == word[:-1]] = -self.drift
         at = np.flatnonzero(score != -self.drift)
         return at, score[at]
 
+    @cached_property
+    def filled(self) -> list[np.ndarray]:
+        """For stems and words, which of the first 20 bits of a hash occur."""
+        out = [np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)]
+        for bits, keys in zip(out, (self.stems, self.words), strict=True):
+            bits[(keys >> _U(44)).astype(np.int64)] = True
+        return out
+
     def evidence(self, sums: np.ndarray, n: int) -> float:
         """Minus the logarithm of the chance of the best sum of segments in a text of n tokens."""
         best, total = 0.0, 0.0
@@ -162,16 +174,17 @@ def fit_toxicity(sample: pa.Table, label: str = "toxic", prior: float = 100.0, c
     model.words = words
     model.word_scores = odds(wt, wc, (st[of] + prior * rate[of]) / (bad + prior) * share, (sc[of] + prior * rate[of]) / (good + prior) * share)
     for keys, scores in (("words", "word_scores"), ("stems", "stem_scores")):
-        kept = getattr(model, scores) > -drift  # the others cost as much as an unknown token
+        kept = getattr(model, scores) > 0  # the others cost as much as an unknown token
         setattr(model, keys, getattr(model, keys)[kept])
         setattr(model, scores, getattr(model, scores)[kept])
     # what a clean word must not gain from its stem
-    clean = wc > 0
+    clean = (wc > 0) & np.isin(stem[first], model.stems)
     known = np.concatenate([words[clean & ~np.isin(words, model.words)], model.words])
     value = np.concatenate([np.full(len(known) - len(model.words), -drift), model.word_scores])
     order = np.argsort(known)
     model.words, model.word_scores = known[order], value[order]
 
+    model.__dict__.pop("filled", None)
     rest = np.flatnonzero(~half)
     sub = sample["text"].combine_chunks() if isinstance(sample["text"], pa.ChunkedArray) else sample["text"]
     buf, off = text_bytes(sub.take(pa.array(rest)))
