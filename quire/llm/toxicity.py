@@ -49,19 +49,20 @@ def maximal_segments(place: np.ndarray, score: np.ndarray, drift: float) -> list
     gap = np.diff(place, prepend=-1) - 1
     after = np.cumsum(score - drift * gap)
     good = score > 0
-    stack: list[list[float]] = []  # first, last, sum before, sum after
+    # first, last, sum before, sum after, nearest earlier one with a smaller sum before
+    stack: list[tuple[int, int, float, float, int]] = []
     for p, x, y in zip(place[good].tolist(), (after - score)[good].tolist(), after[good].tolist(), strict=True):
-        own = [p, p, x, y]
+        first = p
         while True:
             j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= own[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= own[3]:
+            while j >= 0 and stack[j][2] >= x:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= y:
                 break
-            own = [stack[j][0], own[1], stack[j][2], own[3]]
+            first, x = stack[j][0], stack[j][2]
             del stack[j:]
-        stack.append(own)
-    return [(a, b, y - x) for a, b, x, y in stack]
+        stack.append((first, p, x, y, j))
+    return [(a, b, y - x) for a, b, x, y, _ in stack]
 
 
 @dataclass
@@ -99,11 +100,15 @@ class ToxicityModel:
             bits[(keys >> _U(44)).astype(np.int64)] = True
         return out
 
-    def evidence(self, sums: np.ndarray, n: int) -> float:
+    def size(self, n: int) -> float:
+        """ln(K n)."""
+        return math.log(max(self.scale * max(n, 1), 1e-12))
+
+    def evidence(self, sums: list[float], n: int) -> float:
         """Minus the logarithm of the chance of the best sum of segments in a text of n tokens."""
         best, total = 0.0, 0.0
-        size = math.log(max(self.scale * max(n, 1), 1e-12))
-        for r, s in enumerate(np.sort(sums)[::-1], 1):
+        size = self.size(n)
+        for r, s in enumerate(sorted(sums, reverse=True), 1):
             if self.rate * s <= size:  # chance alone gives as good a segment
                 break
             total += self.rate * s - size
@@ -128,7 +133,7 @@ def _documents(buf: np.ndarray, off: np.ndarray, model: ToxicityModel, own_score
             if own_scores is not None:
                 own_scores.append((at[cut[d] : cut[d + 1]] - a, score[cut[d] : cut[d + 1]]))
             found = maximal_segments(at[cut[d] : cut[d + 1]] - a, score[cut[d] : cut[d + 1]], model.drift)
-            yield b - a, [(int(starts[a + x] - own[d]), int(ends[a + y] - own[d]), s) for x, y, s in found]
+            yield int(b - a), [(int(starts[a + x] - own[d]), int(ends[a + y] - own[d]), s) for x, y, s in found]
 
 
 def _frequencies(keys: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,9 +195,9 @@ def fit_toxicity(sample: pa.Table, label: str = "toxic", prior: float = 100.0, c
     buf, off = text_bytes(sub.take(pa.array(rest)))
     seen, raw = [], []
     for n, found in _documents(buf, off, model, raw):
-        seen.append((n, np.array([s for _, _, s in found])))
+        seen.append((n, [s for _, _, s in found]))
     y = toxic[rest]
-    best = np.array([s.max() if len(s) else 0.0 for _, s in seen])
+    best = np.array([max(s, default=0.0) for _, s in seen])
     length = np.array([max(n, 1) for n, _ in seen], float)
     calm = ~y & (best > 0)
     gains = np.concatenate([[drift], *[s for (_, s), bad in zip(raw, y, strict=True) if not bad]])
@@ -247,10 +252,10 @@ def toxic_passages(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
             lead = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])  # code points before each byte
             evidence, spans, cuts = [], [], [0]
             for d, (n, found) in enumerate(_documents(buf, off, known)):
-                evidence.append(known.evidence(np.array([s for _, _, s in found]), n))
+                evidence.append(known.evidence([s for _, _, s in found], n))
+                least, base = (alarm + math.log(2) + known.size(n)) / known.rate, lead[off[d]]
                 for a, b, s in found:
-                    if known.evidence(np.array([s]), n) >= alarm:
-                        base = lead[off[d]]
+                    if s >= least:  # its evidence, as the only segment, is at least alarm
                         spans.append((int(lead[off[d] + a] - base), int(lead[off[d] + b] - base), s))
                 cuts.append(len(spans))
             e = np.array(evidence, float)
