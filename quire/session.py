@@ -37,6 +37,11 @@ def prepare(spark: SparkSession) -> None:
     if ROOT not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    # reused workers give the memory of large arrays back
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(4 << 20))
+    env.setdefault("MALLOC_ARENA_MAX", "2")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
