@@ -17,8 +17,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Documents in a language that the model knows; those that language ID rejects go."""
     prepare(spark)
     found = language.identify_languages(docs, language.fit_languages(docs), host=F.col("source"))
-    rejected = staged(found.where(~F.col("accepted")).select("id").distinct(), "rejected")
-    return _without(docs, rejected)
+    # written first, for a filter on the posterior would be evaluated below the projections that make it
+    found = staged(found.select("id", "accepted"), "accepted")
+    return _without(docs, found.where(~F.col("accepted")).select("id").distinct())
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
