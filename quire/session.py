@@ -37,7 +37,15 @@ def prepare(spark: SparkSession) -> None:
     if ROOT not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    # reused workers give the memory of large arrays back
+
+
+def lean_workers(spark: SparkSession) -> None:
+    """Let Python workers give the memory of large arrays back as soon as these are freed.
+
+    For applications of many different stages, whose workers are reused and would keep the peak of each; it
+    costs some time, since fresh pages have to be cleared.
+    """
+    env = spark.sparkContext.environment
     env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))
     env.setdefault("MALLOC_TRIM_THRESHOLD_", str(4 << 20))
