@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import chosen_path, decontaminate, language, mixing, shards
 from quire.llm._storage import small, staged
-from quire.session import prepare, table
+from quire.session import lean_workers, prepare, table
 
 #: Some stages have no SQL form (a trained classifier, fitted rates, a tokenizer); tests use brute force.
 ORACLE_SQL = None
@@ -15,7 +15,7 @@ ORACLE_SQL = None
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; those that language ID rejects go."""
-    prepare(spark)
+    _set_up(spark)
     found = language.identify_languages(docs, language.fit_languages(docs), host=F.col("source"))
     # written first, for a filter on the posterior would be evaluated below the projections that make it
     found = staged(found.select("id", "accepted"), "accepted")
@@ -24,7 +24,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each class of near copies; of rows with that id, one."""
-    prepare(spark)
+    _set_up(spark)
     classes = staged(chosen_path.near_classes(docs), "classes")
     first = classes.where(F.col("id").eqNullSafe(F.col("class_id")))
     left = _without(docs, classes.join(first.select("id").distinct(), "id", "left_anti").select("id").distinct())
@@ -38,13 +38,13 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    prepare(spark)
+    _set_up(spark)
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), keep=True)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says, whole copies by a hash of its id."""
-    prepare(spark)
+    _set_up(spark)
     model = mixing.fit_from_tables(docs, table(spark, sf_dir, "labels"))
     rates = mixing.mixed(docs, model, mixing.TARGETS).groupBy("id").agg(F.max("copies").alias("copies"))
     rates = staged(rates, "copies")
@@ -54,10 +54,15 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def materialise_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences at their slots."""
-    prepare(spark)
+    _set_up(spark)
     return shards.training_order(docs)
 
 
+def _set_up(spark: SparkSession) -> None:
+    prepare(spark)
+    lean_workers(spark)
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(small(ids), docs["doc_id"] == ids["id"], "left_anti")
 
