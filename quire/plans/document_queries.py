@@ -89,6 +89,12 @@ def r_content_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("file_id").cast("bigint").alias("doc_id")).agg(F.count_if(F.col("opname") == "Tj").alias("shows"), F.count_if(F.col("opname") == "BT").alias("blocks"))
 
 
+def p_render_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form pages of all customers as pictures."""
+    rows = reader.view(_customer_files(spark, sf_dir), "pictures")
+    return rows.select(F.col("file_id").cast("bigint").alias("c_custkey"), "page_index", "width", "height", F.length("ppm").cast("bigint").alias("bytes"), "status")
+
+
 # codecs and ciphers
 
 
@@ -184,6 +190,7 @@ def _widget(name: str, value: str, key: int) -> dict:
 def _customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_custkey").alias("key"))
+    rows = rows.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
     return bytes_of(rows, lambda n, s, k: text_pdf("form", "classic", [_widget(n, s, k)]), "c_custkey", "c_name", "c_mktsegment", "key")
 
 
@@ -270,7 +277,7 @@ QUERIES = (
     | {n: _round_trip(f) for n, f in _ROUND_TRIPS.items()}
     | {
         f.__name__: f
-        for f in (r_pdf_text, r_pdf_find, r_pdf_pages, r_files, r_content_ops, c_md5, c_sha2, c_aes_roundtrip, k_escape, k_wrap, o_revision_merge, o_free_mask, o_hybrid, o_inherit, o_deref, o_edits)
+        for f in (r_pdf_text, r_pdf_find, r_pdf_pages, r_files, p_render_ppm, r_content_ops, c_md5, c_sha2, c_aes_roundtrip, k_escape, k_wrap, o_revision_merge, o_free_mask, o_hybrid, o_inherit, o_deref, o_edits)
     }
     | {f.__name__: f for f in (f_list_fields, f_set_value, f_hit_test, a_add_delete, a_get_tip, a_highlight, a_arrow)}
 )
@@ -301,6 +308,7 @@ SELECT doc_id, page_index, count(*) AS n, CAST(sum(glyph_idx) AS BIGINT) AS star
         "r_files": f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE CAST(ceil(({_LINES}) / 50.0) AS INTEGER) END AS pages_declared, CASE WHEN doc_id % 3 = 0 THEN 'BADARG' ELSE 'OK' END AS status FROM documents",
         "r_content_ops": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT doc_id, CAST(sum(ceil(length(line) / 200.0)) AS BIGINT) AS shows, CAST(ceil(any_value(p) / 50.0) AS BIGINT) AS blocks FROM l JOIN (SELECT doc_id, {_LINES} AS p FROM documents) USING (doc_id) GROUP BY doc_id""",
+        "p_render_ppm": "SELECT c_custkey, 0 AS page_index, 612 AS width, 792 AS height, CAST(612 * 792 * 3 + 15 AS BIGINT) AS bytes, 'OK' AS status FROM customer",
         "k_escape": "SELECT doc_id, length(text) + length(regexp_replace(text, '[^()\\\\]', '', 'g')) AS n FROM documents",
         "o_revision_merge": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 AND event_type <> 'error'",
         "o_free_mask": "SELECT CASE WHEN event_type = 'error' THEN 'free' ELSE 'offset' END AS kind, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 GROUP BY 1",

@@ -6,6 +6,7 @@ Bad input gives rows with a status, never a failed task.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,6 +19,8 @@ from .content import operations, page_glyphs
 from .document import Document, Fault, box, num
 from .filters import FilterFault, chain
 from .fonts import Font
+from .images import decode_image
+from .render import render_page
 from .syntax import Name, Ref, Stream, SyntaxFault, plain
 
 SCHEMAS = {
@@ -32,7 +35,8 @@ SCHEMAS = {
     "fonts": "file_id string, font_num bigint, base_font string, subtype string, is_cid boolean, is_bold boolean, is_italic boolean, is_serif boolean, embedded string",
     "form_fields": "file_id string, page_index int, field_idx int, type string, name string, value binary, on_state string, read_only boolean, obj_num bigint, obj_gen bigint, x0 double, y0 double, x1 double, y1 double",
     "annotations": "file_id string, page_index int, annot_idx int, subtype string, flags int, x0 double, y0 double, x1 double, y1 double, quadpoints array<double>, contents binary, color array<double>, obj_num bigint",
-    "images": "file_id string, obj_num bigint, width int, height int, bpc int, cs string, filters array<string>, data binary, status string",
+    "images": "file_id string, obj_num bigint, width int, height int, bpc int, cs string, filters array<string>, rgb binary, alpha binary, status string",
+    "pictures": "file_id string, page_index int, width int, height int, ppm binary, status string",
 }
 
 
@@ -144,11 +148,24 @@ def _images(doc: Document) -> Iterator[tuple]:
         d, names = v.dict, [f for f, _ in chain(v.dict, doc.get)]
         space = doc.get(d.get("ColorSpace"))
         space = doc.get(space[0]) if isinstance(space, list) and space else space
+        width, height, rgb, alpha, status = int(num(doc.get(d.get("Width")))), int(num(doc.get(d.get("Height")))), None, None, "OK"
         try:
-            data, status = doc.stream_bytes(v), "OK"
-        except FilterFault:
-            data, status = None, "UNSUPPORTED"
-        yield n, int(num(doc.get(d.get("Width")))), int(num(doc.get(d.get("Height")))), int(num(doc.get(d.get("BitsPerComponent")), 1)), str(space or ""), names, data, status
+            width, height, colours, opacity = decode_image(doc, v)
+            rgb, alpha = colours.tobytes(), opacity.tobytes() if opacity is not None else None
+        except FilterFault as e:
+            status = "UNSUPPORTED" if "unsupported" in str(e) else "SYNTAX"
+        except (ValueError, IndexError, KeyError, TypeError, EOFError, struct.error):
+            status = "SYNTAX"
+        yield n, width, height, int(num(doc.get(d.get("BitsPerComponent")), 1)), str(space or ""), names, rgb, alpha, status
+
+
+def _pictures(doc: Document) -> Iterator[tuple]:
+    for p in doc.pages():
+        try:
+            bitmap = render_page(doc, p)
+            yield p.index, bitmap.rgb.shape[1], bitmap.rgb.shape[0], bitmap.ppm(), "OK"
+        except (FilterFault, ValueError, IndexError, KeyError, TypeError, ZeroDivisionError, OverflowError):
+            yield p.index, 0, 0, None, "SYNTAX"
 
 
 _TABLES: dict[str, Callable[[Document], Iterator[tuple]]] = {
@@ -163,6 +180,7 @@ _TABLES: dict[str, Callable[[Document], Iterator[tuple]]] = {
     "form_fields": _fields,
     "annotations": _annotations,
     "images": _images,
+    "pictures": _pictures,
 }
 
 
