@@ -7,7 +7,8 @@ from typing import Any
 
 from .document import Document, num
 from .filters import FilterFault
-from .syntax import Name
+from .outlines import Compact, FontFault, TrueType
+from .syntax import Name, Stream
 
 # Advance widths of codes 32 to 126 in thousandths of the em, of the standard metrics.
 _HELVETICA = """278 278 355 556 556 889 667 191 333 333 389 584 278 333 278 278 556 556 556 556 556 556 556 556 556 556
@@ -136,10 +137,55 @@ class Font:
                     at += 1
                 else:
                     at = int(num(x))
+        self.program: TrueType | Compact | None = None
+        try:
+            if descriptor.get("FontFile2") is not None:
+                self.program = TrueType(doc.stream_bytes(descriptor["FontFile2"]))
+                names = self.program.names
+                self.base = names.get(1, self.base)
+                self.bold = "bold" in names.get(2, "").lower() if 2 in names else self.bold
+                self.italic = any(x in names.get(2, "").lower() for x in ("italic", "oblique")) if 2 in names else self.italic
+            elif descriptor.get("FontFile3") is not None:
+                self.program = Compact(doc.stream_bytes(descriptor["FontFile3"]))
+        except (FilterFault, FontFault):
+            pass
+        glyphs = get(inner.get("CIDToGIDMap")) if isinstance(inner, dict) else None
+        try:
+            raw = doc.stream_bytes(glyphs) if isinstance(glyphs, Stream) else b""
+        except FilterFault:
+            raw = b""
+        self.cid_glyphs = {i // 2: int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw) - 1, 2)}
         try:
             self.unicode = parse_to_unicode(doc.stream_bytes(d["ToUnicode"])) if d.get("ToUnicode") is not None else {}
         except (FilterFault, ValueError):
             self.unicode = {}
+        if isinstance(self.program, Compact) and not self.is_cid:
+            for code in range(256):
+                name = self.program.name_of(code)
+                if code not in self.unicode and name in GLYPH_NAMES:
+                    self.unicode[code] = GLYPH_NAMES[name]
+                if self.widths.get(code) == 0 and (glyph := self.program.glyph_of(code)):
+                    try:
+                        self.widths[code] = self.program.advance(glyph) * 1000 or 0.0
+                    except FontFault:
+                        continue
+
+    def outline(self, code: int) -> tuple[list, float]:
+        """(contours, natural width) of a code's glyph in the embedded program; none if it has none."""
+        if self.program is None:
+            return [], 0.0
+        if isinstance(self.program, Compact):
+            glyph = self.program.glyph_of(code)
+        elif self.is_cid:
+            glyph = self.cid_glyphs.get(code, code)
+        else:
+            glyph = self.program.glyph_of(self.to_unicode(code), code)
+        if not glyph:
+            return [], 0.0
+        try:
+            return self.program.outline(glyph), self.program.advance(glyph)
+        except FontFault:
+            return [], 0.0
 
     def _cid_widths(self, get: Any, rows: Any) -> None:
         rows, i = rows if isinstance(rows, list) else [], 0

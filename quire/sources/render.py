@@ -1,7 +1,7 @@
 """Pages to pictures: a content interpreter that paints.
 
-Glyphs are drawn as boxes of their width, since no outlines are read from font programs yet. Colours follow the
-number of operands; profiles are ignored.
+Glyphs are drawn by the outlines of embedded font programs, and as boxes of their width where there are none.
+Colours follow the number of operands; profiles are ignored.
 """
 
 from __future__ import annotations
@@ -184,16 +184,22 @@ class Painter(Interpreter):
         super().show(raw)
         if s.mode in (3, 7):
             return
-        boxes = [self._glyph_box(g) for g in self.glyphs[before:] if g.unicode != 32 and g.advance > 0]
-        if boxes:
-            self.bitmap.paint(self.cover(raster.coverage(boxes, *self.size), s.fill_alpha), s.fill, s.mode_name)
+        shapes = [c for g in self.glyphs[before:] if g.unicode != 32 and g.advance > 0 for c in self._glyph_shape(g)]
+        if shapes:
+            self.bitmap.paint(self.cover(raster.coverage(shapes, *self.size), s.fill_alpha), s.fill, s.mode_name)
 
-    def _glyph_box(self, g: Glyph) -> list[tuple[float, float]]:
+    def _glyph_shape(self, g: Glyph) -> list[list[tuple[float, float]]]:
+        """A glyph's contours on the bitmap; an outline is stretched to the width that the page gives it."""
         turn = np.radians(g.rotation)
         along, up = (np.cos(turn), -np.sin(turn)), (-np.sin(turn), -np.cos(turn))
-        edge = min(0.08 * g.height, 0.25 * g.advance)
-        corners = [(edge, 0.0), (g.advance - edge, 0.0), (g.advance - edge, 0.62 * g.height), (edge, 0.62 * g.height)]
-        return [((g.x0 + a * along[0] + b * up[0]) * self.scale, (g.y0 + a * along[1] + b * up[1]) * self.scale) for a, b in corners]
+        contours, natural = self.state.font.outline(g.code) if self.state.font else ([], 0.0)
+        wide = g.advance / natural if natural > 0.001 else g.height
+        wide = min(2.5 * g.height, max(0.4 * g.height, wide))
+        shapes = [[(x * wide, y * g.height) for x, y in c] for c in contours]
+        if not shapes:
+            edge = min(0.08 * g.height, 0.25 * g.advance)
+            shapes = [[(edge, 0.0), (g.advance - edge, 0.0), (g.advance - edge, 0.62 * g.height), (edge, 0.62 * g.height)]]
+        return [[((g.x0 + a * along[0] + b * up[0]) * self.scale, (g.y0 + a * along[1] + b * up[1]) * self.scale) for a, b in c] for c in shapes]
 
     def move(self, x: float, y: float) -> None:
         self.paths.append([self.pixel(x, y)])
