@@ -18,10 +18,8 @@ ASCENT, DESCENT = 0.80, 0.20
 
 def layout(docs: DataFrame, key: str = "doc_id", text: str = "text", left: float = 72, top: float = 84, advance: float = 6, leading: float = 12, height: float = 10) -> DataFrame:
     """Glyphs of plain texts in a fixed-pitch layout; line feeds move down and are no glyphs."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    rows = docs.select(key, lines.alias("lines"))
-    sizes = F.transform("lines", lambda x: F.length(x))
-    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    rows = docs.select(key, F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
+    starts = _line_starts(F.col("lines"))
     rows = rows.select(key, F.posexplode(F.arrays_zip(F.col("lines").alias("line"), F.slice(starts, F.lit(1), F.size("lines")).alias("start"))).alias("ln", "z"))
     rows = rows.where(F.length("z.line") > 0).select(key, "ln", F.col("z.start").alias("start"), F.posexplode(F.split("z.line", "")).alias("col", "ch"))
     return rows.select(
@@ -35,6 +33,37 @@ def layout(docs: DataFrame, key: str = "doc_id", text: str = "text", left: float
     )
 
 
+def _line_starts(lines: Column) -> Column:
+    """The glyph index at which each line starts, and after the last one the number of glyphs."""
+    sizes = F.transform(lines, lambda x: F.length(x))
+    return F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+
+def find_in_layout(
+    docs: DataFrame, needle: str, case_sensitive: bool = True, key: str = "doc_id", text: str = "text", left: float = 72, top: float = 84, advance: float = 6, leading: float = 12, height: float = 10
+) -> DataFrame:
+    """Matches with boxes (key, start_idx, end_idx, x0, y0, x1, y1) in texts laid out as by layout.
+
+    The places of a match's glyphs follow from the starts of the lines, so no glyph rows are made, and
+    neither matches nor texts are shuffled.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(key, _line_starts(F.split(body, "\n")).alias("starts"), match_starts(F.replace(body, F.lit("\n"), F.lit("")), needle, case_sensitive).alias("found"))
+    rows = rows.select(key, "starts", F.explode("found").alias("start_idx")).withColumn("end_idx", F.col("start_idx") + (len(needle[:256]) - 1))
+    # the last line that starts at or before a glyph and is not empty is the one that holds it
+    rows = rows.withColumn("ln", F.transform(F.sequence("start_idx", "end_idx"), lambda i: F.size(F.filter("starts", lambda s: s <= i)) - 1))
+    rows = rows.withColumn("col", F.transform("ln", lambda n, k: F.col("start_idx") + k - F.col("starts")[n]))
+    return rows.select(
+        key,
+        "start_idx",
+        "end_idx",
+        (left + advance * F.array_min("col")).cast("double").alias("x0"),
+        ((top + leading * F.array_min("ln")).cast("double") - height * ASCENT).alias("y0"),
+        (left + advance * (F.array_max("col") + 1)).cast("double").alias("x1"),
+        ((top + leading * F.array_max("ln")).cast("double") + height * DESCENT).alias("y1"),
+    )
+
+
 def page_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The glyphs of each page as one string; line feeds are not glyphs, so matches cross lines."""
     return docs.select(key, F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\n"), F.lit("")).alias("glyph_text"))

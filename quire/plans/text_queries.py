@@ -44,6 +44,11 @@ def _match_cte(needle: str, case_sensitive: bool = True, source: str = "g", by:
 
 
 def t_find_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.find_in_layout(_documents(spark, sf_dir), "ation", False)
+
+
+def t_find_glyph_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same boxes by way of glyph rows, as for glyphs of any layout."""
     docs = _documents(spark, sf_dir)
     return G.boxes(G.find(G.page_text(docs), KEYS, "ation", False), G.layout(docs), KEYS)
 
@@ -104,6 +109,7 @@ QUERIES = {
     "t_find_none": _find("elephantine"),
     "t_find_overlap": _find("ee"),
     "t_find_bbox": t_find_bbox,
+    "t_find_glyph_boxes": t_find_glyph_boxes,
     "t_find_topk": _find("on", True, 128),
     "t_find_next_wrap": _step(False),
     "t_find_prev_wrap": _step(True),
@@ -148,6 +154,7 @@ ORACLES = {
     "t_find_none": _plain("elephantine"),
     "t_find_overlap": _plain("ee"),
     "t_find_bbox": f"WITH {GLYPHS}, {_match_cte('ation', False)} SELECT doc_id, start_idx, end_idx, {BOX} FROM m JOIN g USING (doc_id) WHERE glyph_idx BETWEEN start_idx AND end_idx GROUP BY ALL",
+    "t_find_glyph_boxes": f"WITH {GLYPHS}, {_match_cte('ation', False)} SELECT doc_id, start_idx, end_idx, {BOX} FROM m JOIN g USING (doc_id) WHERE glyph_idx BETWEEN start_idx AND end_idx GROUP BY ALL",
     "t_find_topk": f"WITH {GLYPHS}, {_match_cte('on')} SELECT doc_id, start_idx, end_idx FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start_idx) <= 128",
     "t_find_next_wrap": _steps("lead", "first_value"),
     "t_find_prev_wrap": _steps("lag", "last_value"),
