@@ -31,6 +31,7 @@ _TAG = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_MODIFIER = re.compile(r"(?:has|with|no|without|is|js)[-_]|(?:has|with|no|without|is|js)[A-Z]")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 _RAW = frozenset("script style noscript template title textarea svg math iframe object select option button head audio video canvas".split())
@@ -88,7 +89,8 @@ def _names(attrs: str) -> tuple[set[str], str, bool]:
     for name, a, b, c in _ATTR.findall(attrs):
         value, name = a or b or c, name.lower()
         if name in ("class", "id", "itemprop"):
-            words |= {x.lower() for x in _PARTS.findall(value)}
+            # names like with-sidebar or has-ads tell what else is on the page
+            words |= {x.lower() for one in value.split() if not _MODIFIER.match(one) for x in _PARTS.findall(one)}
         elif name == "role":
             role = value.lower().strip()
         elif name == "hidden":
@@ -189,10 +191,13 @@ def blocks_of(page: str) -> list[Block]:
         top = stack[-1]
         number += 1
         good = name in _GOOD_TAGS or role == "main" or role == "article"
-        bad = hidden or name in _BAD_TAGS or role in _BAD_ROLES or bool(words & _BAD_NAMES) and not (good and not words - _BAD_NAMES - _GOOD_NAMES)
+        if top.good:  # the head of an article is not that of the page; its headings stay
+            head, words = top.head or name == "header" or "header" in words, words - {"header"}
+        else:
+            head = top.head or name == "header"
+        bad = hidden or name in _BAD_TAGS or role in _BAD_ROLES or bool(words & _BAD_NAMES)
         if name == "body" or name == "html":
             bad = False
-        head = top.head or name == "header"
         stack.append(_Box(name, number, top.bad or bad or (name == "header" and not top.good), top.good or good, top.named or bool(words & _GOOD_NAMES), head))
     flush()
     return out
@@ -219,7 +224,7 @@ def content_score(block: Block, has_article: bool) -> float:
     elif block.named:
         score += 2.0
     if block.head and block.leaf not in _HEADS:
-        score -= 7.0
+        score -= 10.0
     if words < 30 and _CUES.search(block.text) and not (block.good and block.leaf in _LEAVES):
         score -= 4.0
     return float(score)

@@ -23,6 +23,19 @@ def test_article_with_malformed_tags():
     assert mincut.main_text(page[: page.index("of it")] + "&am")[0].endswith("More &&& &am")
 
 
+def test_containers():
+    body = "<p>A first paragraph with enough words to be read as text.</p><p>And then a second one, which is as long as that.</p>"
+    text = "A first paragraph with enough words to be read as text.\nAnd then a second one, which is as long as that."
+    note = "<p>I have read this and wish to say a few words about it.</p>"
+    assert mincut.main_text(f'<body class="single with-sidebar"><div class="wrap has-ads"><article>{body}</article></div></body>')[0] == text
+    assert mincut.main_text(f'<body><main>{body}</main><article class="comment">{note}</article></body>')[0] == text
+    assert mincut.main_text(f'<body><article>{body}<div id="comments"><article>{note}</article></div></article></body>')[0] == text
+    head = '<div class="entry-header"><h1>The title of it</h1><span>by somebody on a day</span></div>'
+    assert mincut.main_text(f"<body><article>{head}{body}</article></body>")[0] == "The title of it\n" + text
+    assert mincut.main_text(f'<body><div class="header"><p>{"Words of a page header. " * 3}</p></div><div>{body}</div></body>')[0] == text
+    assert mincut.main_text(f'<body><div>{body}</div><aside>{note}</aside><form>{note}</form><div role="alert">{note}</div></body>')[0] == text
+
+
 def test_defined_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<p"), (3, "w", "<p>" + "word " * 30000), (3, "w", "<script>x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
