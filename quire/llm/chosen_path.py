@@ -3,9 +3,10 @@
 Every distinct shingle set is a node. A run follows a path of shared tokens: the tokens are the minima of
 random orders of the shingles (sampled from the set in a way that similar sets sample the same), the first
 one deals all nodes into buckets, and only buckets over `bucket` nodes are split by the next token, until
-they are small or the path has `depth` tokens. Small buckets are compared by brute force on sketches. Two
-sets of similarity s share a bucket of depth d with probability s^d, so `runs` independent runs miss a
-pair with probability (1 - s^d)^runs; runs are repeated until that is below 1 - recall at depth 3.
+they are small or the path has `depth` tokens. All pairs of a bucket are compared on sketches; a bucket that
+is still over the bound at full depth is compared as pairs of blocks of half the bound. No path is longer
+than `depth`, and `runs` are as many as miss a pair at the least similarity with probability 1 - recall at
+most where all its buckets have full depth (see `_runs`); pairs in shorter paths are missed less often.
 
 What the buckets give are candidates. They are joined to components, each document's shingles are sent to
 its component once, and every pair of a component is checked exactly there; components over `block` nodes
@@ -14,6 +15,7 @@ are checked as pairs of blocks, so no task holds more than two blocks. Links are
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -28,6 +30,8 @@ from ._tokens import GOLDEN, constants, grams, group_starts, mix, word_hashes
 from .components import connected
 
 _U = np.uint64
+#: What rows that are compared with each other have in common.
+GROUP = ("key", "run", "p", "q")
 
 
 def _shingles(h: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +98,18 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int, size: int) -> Iterator[
         )
 
 
+def _runs(s: float, depth: int, size: int, recall: float) -> int:
+    """The least number of runs that miss a pair of similarity s with probability 1 - recall at most.
+
+    All runs draw their tokens from the same `size` minima, a binomial number of which two sets share, so
+    the chance of a miss is the mean of (1 - (shared / size)^depth)^runs over it.
+    """
+    shared = np.arange(size + 1)
+    weight = np.array([math.comb(size, x) * s**x * (1 - s) ** (size - x) for x in shared.tolist()])
+    path = (shared / size) ** depth
+    return next(r for r in itertools.count(8) if (weight * (1 - path) ** r).sum() <= 1 - recall or r >= 1024)
+
+
 def _orders(runs: int, depth: int, size: int) -> np.ndarray:
     """The tokens that each run follows: distinct first ones, then a shuffle of the others."""
     out = np.empty((runs, depth), np.int64)
@@ -105,10 +121,10 @@ def _orders(runs: int, depth: int, size: int) -> np.ndarray:
 
 
 def _paths(nodes: DataFrame, runs: int, depth: int, size: int, bucket: int) -> DataFrame:
-    """(run, key, long, node, sketch): the bucket of each node in each run.
+    """(run, key, p, q, node, sketch): the bucket of each node in each run, and the pair of blocks in it.
 
-    Keys are extended by one token as long as buckets over the bound remain; `long` marks buckets that are
-    over it at full depth.
+    Keys are extended by one token as long as buckets over the bound remain. A bucket that is over it at full
+    depth is dealt into blocks, and its nodes go to each pair (p, q) that their block is in; else both are 0.
     """
     order = _orders(runs, depth, size)
 
@@ -135,14 +151,19 @@ def _paths(nodes: DataFrame, runs: int, depth: int, size: int, bucket: int) -> D
     rows = rows.withColumn("open", F.lit(True))
     tokens = F.array(*[F.array(*[F.lit(int(x) + 1) for x in o]) for o in order])
     for d in range(1, depth + 1):
-        over = staged(rows.where("open").groupBy("key").count().where(F.col("count") > bucket).select("key", F.lit(True).alias("over")), "over")
+        over = staged(rows.where("open").groupBy("key").count().where(F.col("count") > bucket).select("key", F.col("count").alias("over")), "over")
         if not over.limit(1).count():
-            return rows.withColumn("long", F.lit(False)).drop("open")
-        rows = rows.join(small(over), "key", "left").withColumn("open", F.col("open") & F.coalesce("over", F.lit(False))).drop("over")
+            return rows.select("run", "key", F.lit(0).alias("p"), F.lit(0).alias("q"), "node", "sketch")
+        rows = rows.join(small(over), "key", "left").withColumn("open", F.col("open") & F.col("over").isNotNull())
         if d < depth:
+            rows = rows.drop("over")
             token = F.substring("sketch", tokens[F.col("run")][d], 1)
             rows = rows.withColumn("key", F.when(F.col("open"), F.xxhash64("key", token)).otherwise(F.col("key")))
-    return rows.withColumnRenamed("open", "long")
+    of = F.when(F.col("open"), F.ceil(2 * F.col("over") / bucket)).otherwise(1).cast("int")
+    rows = rows.withColumn("of", of).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("of")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("of") - 1), lambda x: (x != F.col("own")) | (F.col("of") == 1))
+    rows = rows.withColumn("other", F.explode(others))
+    return rows.select("run", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "sketch")
 
 
 def _brute(sketch: np.ndarray, group: np.ndarray, agree: int, reach: int) -> np.ndarray:
@@ -170,33 +191,38 @@ def _brute(sketch: np.ndarray, group: np.ndarray, agree: int, reach: int) -> np.
     return label
 
 
-def _split(rows: np.ndarray, sketch: np.ndarray, order: np.ndarray, level: int, reach: int, out: list[np.ndarray]) -> None:
-    """Recursive splitting of one bucket by the tokens of its run; leaves go to out."""
-    if len(rows) <= reach or level >= len(order):
-        if len(rows) > 1:
-            out.append(rows)
-        return
-    token = sketch[rows, order[level]]
-    by = np.argsort(token, kind="stable")
-    heads = group_starts(token[by])
-    for a, b in zip(heads, np.append(heads[1:], len(by)), strict=True):
-        if b - a > 1:
-            _split(rows[by[a:b]], sketch, order, level + 1, reach, out)
+def _spread(sketch: np.ndarray, agree: int) -> np.ndarray:
+    """Labels 0..n-1 of the rows of one group, joined where sketches agree: each row is compared with all that
+    no row has reached yet, the reached ones first."""
+    n = len(sketch)
+    label = np.arange(n)
+    left, rest = np.arange(n), np.ascontiguousarray(sketch.T)
+    queue: list[int] = []
+    while len(left):
+        if queue:
+            own = queue.pop()
+        else:
+            own, left, rest = int(left[0]), left[1:], rest[:, 1:]
+        near = (rest == sketch[own][:, None]).sum(0, dtype=np.uint16) >= agree
+        if near.any():
+            label[left[near]] = label[own]
+            queue += left[near].tolist()
+            left, rest = left[~near], np.ascontiguousarray(rest[:, ~near])
+    return label
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], order: np.ndarray, agree: int, reach: int, bucket: int) -> Iterator[pa.RecordBatch]:
-    """Links of each node to one other of its leaf, of rows sorted by key and node.
+def _candidates(batches: Iterator[pa.RecordBatch], agree: int, reach: int, bucket: int) -> Iterator[pa.RecordBatch]:
+    """Links that join the nodes of each bucket whose sketches agree, of rows sorted by key, run and blocks.
 
-    A `long` bucket shares a full path: its nodes are linked to its first one as they stream by.
+    Buckets of up to `reach` nodes are compared many at a time.
     """
 
     def solve(table: pa.Table) -> pa.RecordBatch | None:
         n = table.num_rows
-        run, key = table["run"].to_numpy(), table["key"].to_numpy()
         node = table["node"].combine_chunks()
         raw = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8)
         sketch = raw.reshape(n, -1)
-        heads = group_starts(key, run)
+        heads = group_starts(*(table[c].to_numpy() for c in GROUP))
         sizes = np.diff(np.append(heads, n))
         a, b = [], []
         mid = heads[(sizes > 1) & (sizes <= reach)]
@@ -208,46 +234,25 @@ def _candidates(batches: Iterator[pa.RecordBatch], order: np.ndarray, agree: int
             a.append(rows[own])
             b.append(rows[label[own]])
         for head, length in zip(heads[sizes > reach], sizes[sizes > reach], strict=True):
-            leaves: list[np.ndarray] = []
-            _split(np.arange(head, head + length), sketch, order[run[head]], 1, reach, leaves)
-            for rows in leaves:
-                if len(rows) > reach:  # a full path is shared
-                    label = np.zeros(len(rows), np.int64)
-                else:
-                    label = _brute(sketch[rows], np.zeros(len(rows), np.int64), agree, reach)
-                own = np.flatnonzero(label != np.arange(len(label)))
-                a.append(rows[own])
-                b.append(rows[label[own]])
+            label = _spread(sketch[head : head + length], agree)
+            own = np.flatnonzero(label != np.arange(length))
+            a.append(head + own)
+            b.append(head + label[own])
         if not a or not sum(map(len, a)):
             return None
         return pa.RecordBatch.from_arrays([node.take(pa.array(np.concatenate(a))), node.take(pa.array(np.concatenate(b)))], ["a", "b"])
 
     held: list[pa.Table] = []
-    size, star = 0, None
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        far = table["long"].to_numpy()
-        if far.any():
-            rows = table.filter(pa.array(far))
-            key, run, node = rows["key"].to_numpy(), rows["run"].to_numpy(), rows["node"].to_pylist()
-            roots = []
-            for k, r, x in zip(key, run, node, strict=True):
-                if star is None or star[0] != (k, r):
-                    star = ((k, r), x)
-                roots.append(star[1])
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(roots, pa.binary())], ["a", "b"])
-            table = table.filter(pa.array(~far))
-            if not table.num_rows:
-                continue
-        held.append(table)
-        size += table.num_rows
+        held.append(pa.Table.from_batches([batch]))
+        size += batch.num_rows
         if size < 4 * bucket:
             continue
         whole = pa.concat_tables(held).combine_chunks()
-        key, run = whole["key"].to_numpy(), whole["run"].to_numpy()
-        last = group_starts(key, run)[-1]  # may go on in the next batch
+        last = group_starts(*(whole[c].to_numpy() for c in GROUP))[-1]  # may go on in the next batch
         if last and (out := solve(whole.slice(0, last))):
             yield out
         held = [whole.slice(last)]
@@ -342,7 +347,7 @@ def near_classes(
     recall: float = 0.999,
     size: int = 64,
     bucket: int = 4096,
-    depth: int = 12,
+    depth: int = 3,
     reach: int = 48,
     block: int = 1024,
 ) -> DataFrame:
@@ -361,17 +366,16 @@ def near_classes(
     spark = df.sparkSession
     num, den = similarity
     s = num / den
-    runs = max(8, math.ceil(math.log(1 - recall) / math.log(1 - s**3)))
+    runs = _runs(s, depth, size, recall)
     agree = math.floor(size * (s - 4 * math.sqrt(s * (1 - s) / size)))
-    order = _orders(runs, depth, size)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
 
     rows = staged(docs.mapInArrow(lambda x: _sketches(x, k, size), "id bigint, node binary, n int, sketch binary"), "sketches")
     nodes = staged(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     paths = _paths(nodes, runs, depth, size, bucket)
-    dealt = paths.repartition(width, "key").sortWithinPartitions("key", "run", "node")
-    pairs = dealt.mapInArrow(lambda x: _candidates(x, order, agree, reach, bucket), "a binary, b binary")
+    dealt = paths.repartition(width, "key", "p", "q").sortWithinPartitions(*GROUP, "node")
+    pairs = dealt.mapInArrow(lambda x: _candidates(x, agree, reach, bucket), "a binary, b binary")
     members = staged(connected(pairs), "members")
     wanted = members.join(nodes.select("node", "rep"), "node")
     parts = members.groupBy("root").agg(F.count("*").alias("of")).where("of > 1").withColumn("of", F.ceil(F.col("of") / block).cast("int"))

@@ -1,5 +1,7 @@
+import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from quire.llm.chosen_path import near_classes
@@ -51,6 +53,44 @@ def test_splitting_and_blocks(make):
     assert got(make(texts), bucket=16, reach=8, block=1000) == want
 
 
+@pytest.fixture(scope="module")
+def pairs_in_a_large_group():
+    """900 pairs of similarity 0.81 among 1,800 texts put together from the same few passages, and what brute force says."""
+    rng = random.Random(1)
+    texts, drawn = [], {}
+    while len(drawn) < 900:
+        drawn[tuple(rng.choices((0, 1), (65, 35))[0] for _ in range(20))] = None
+    for i, passages in enumerate(drawn):
+        a = [f"s{k}v{v}w{j}" for k, v in enumerate(passages) for j in range(10)]
+        b = list(a)
+        b[25::50] = [f"q{i}"] * 4
+        texts += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    words = [t.split() for _, t in texts]
+    sets = [{tuple(w[s : s + 5]) for s in range(len(w) - 4)} for w in words]
+    column = {g: c for c, g in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(column)), np.float32)
+    for row, x in enumerate(sets):
+        held[row, [column[g] for g in x]] = 1
+    both = (held @ held.T).astype(int)
+    size = both.diagonal()
+    near = 5 * both >= 4 * (size[:, None] + size[None, :] - both)
+    reach = near.copy()
+    while (more := (reach.astype(np.float32) @ reach > 0)).sum() > reach.sum():
+        reach = more
+    return texts, sorted((str(i), str(reach[i].argmax()), int(near[i].sum() - 1)) for i in range(len(texts)))
+
+
+def test_all_pairs_of_a_large_group(make, pairs_in_a_large_group):
+    texts, want = pairs_in_a_large_group
+    assert got(make(texts)) == want
+
+
+def test_buckets_over_the_bound_at_full_depth(make, pairs_in_a_large_group):
+    texts, want = pairs_in_a_large_group
+    found = set(got(make(texts), bucket=40, reach=8))
+    assert len(found & set(want)) >= 0.998 * len(want)
+
+
 def test_empty_table(make):
     assert near_classes(make([])).collect() == []
 
