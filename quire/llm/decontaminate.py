@@ -6,7 +6,8 @@ not count. The windows of `window` canonical tokens of all benchmark items are h
 all texts. Hits of one item on one diagonal (text position minus item position) are an alignment; its slots
 are consistent if each value in the item stands for one value in the text and the other way round, so a
 question whose numbers or names were exchanged throughout is still found, and a chance match of templates is
-not. A text is contaminated by an item if consistent alignments cover at least `cover` of its windows, or
+not; of an alignment that is not consistent, the windows count whose values are all equal. An item without a
+template window (most of its tokens are slots) is looked for by windows of its tokens as they are. A text is contaminated by an item if consistent alignments cover at least `cover` of its windows, or
 at least `run` consecutive tokens.
 
 The item side of the join is held in memory, in blocks of at most `bound` windows; a larger benchmark is
@@ -54,18 +55,31 @@ def _hash_words(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = _hash_words(UNITS)
 
 
-def canonical(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, code, kind, value) of the canonical tokens; code is what windows hash, value the token itself."""
+def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document, class) of the words, numbers and signs."""
     classes = _CLASSES[buf]
     if len(buf) > 2:  # a point or comma between digits belongs to the number
         inner = ((buf[1:-1] == 46) | (buf[1:-1] == 44)) & (classes[:-2] == 2) & (classes[2:] == 2)
         classes[1:-1][inner] = 2
     starts, ends, doc = runs(classes, off, np.arange(256, dtype=np.uint8))
+    return starts, ends, doc, classes[starts]
+
+
+def exact(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, value) of all tokens as they are, in lower case."""
+    starts, ends, doc, _ = _tokens(buf, off)
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, _U)
+    return doc, hashes(buf, starts, ends, LOWER)
+
+
+def canonical(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, code, kind, value) of the canonical tokens; code is what windows hash, value the token itself."""
+    starts, ends, doc, cls = _tokens(buf, off)
     if not len(starts):
         empty = np.empty(0, np.int64)
         return empty, empty.astype(_U), empty, empty.astype(_U)
     value = hashes(buf, starts, ends, LOWER)
-    cls = classes[starts]
     kind = np.where(cls == 2, NUMBER, LITERAL)
     at = np.minimum(np.searchsorted(_UNIT_HASHES, value), len(_UNIT_HASHES) - 1)
     same = np.concatenate([[False], doc[1:] == doc[:-1]])
@@ -114,20 +128,31 @@ class Templates:
         buf, off = text_bytes(items["text"])
         doc, self.code, self.kind, self.value = canonical(buf, off)
         self.first = np.searchsorted(doc, np.arange(len(self.ids) + 1))
+        self.total = np.zeros(len(self.ids), np.int64)
         sizes = np.diff(self.first)
-        self.lengths, self.total = {}, np.zeros(len(self.ids), np.int64)
-        for length in sorted({min(window, int(n)) for n in sizes if n >= literals}):
-            fit = sizes >= window if length == window else sizes == length
-            at, g = _windows(doc, self.code, self.kind, length, literals)
+        self.lengths = self._indexed(doc, self.code, self.kind, self.first, sizes >= literals, window, literals)
+        doc, value = exact(buf, off)
+        first = np.searchsorted(doc, np.arange(len(self.ids) + 1))
+        rare = (self.total == 0) & (np.diff(first) >= literals)
+        self.exact = self._indexed(doc, value, np.zeros(len(doc), np.int64), first, rare, window, 0) if rare.any() else {}
+        bits = np.zeros(1 << 20, bool)
+        for g, _, _ in [*self.lengths.values(), *self.exact.values()]:
+            bits[(g >> _U(44)).astype(np.int64)] = True
+        self.bits = bits
+
+
+    def _indexed(self, doc: np.ndarray, code: np.ndarray, kind: np.ndarray, first: np.ndarray, wanted: np.ndarray, window: int, literals: int) -> dict:
+        """For each length, the windows of the wanted items of that length: sorted hashes, items, places."""
+        sizes, out = np.diff(first), {}
+        for length in sorted({min(window, int(n)) for n in sizes[wanted]}):
+            fit = wanted & (sizes >= window if length == window else sizes == length)
+            at, g = _windows(doc, code, kind, length, literals)
             mine = fit[doc[at]] if len(at) else np.empty(0, bool)
             at, g = at[mine], g[mine]
             self.total += np.bincount(doc[at], minlength=len(self.ids))
             order = np.argsort(g, kind="stable")
-            self.lengths[length] = (g[order], doc[at][order], (at - self.first[doc[at]])[order] if len(at) else at)
-        bits = np.zeros(1 << 20, bool)
-        for g, _, _ in self.lengths.values():
-            bits[(g >> _U(44)).astype(np.int64)] = True
-        self.bits = bits
+            out[length] = (g[order], doc[at][order], (at - first[doc[at]])[order] if len(at) else at)
+        return out
 
 
 def _consistent(item_value: np.ndarray, text_value: np.ndarray, kind: np.ndarray, share: float = 0.9) -> bool:
@@ -144,35 +169,54 @@ def _consistent(item_value: np.ndarray, text_value: np.ndarray, kind: np.ndarray
     return True
 
 
+def _covered(windows: list[tuple[int, int]]) -> np.ndarray:
+    return np.unique(np.concatenate([np.arange(p, p + n) for p, n in windows]))
+
+
+def _hits(doc: np.ndarray, code: np.ndarray, kind: np.ndarray, first: np.ndarray, lengths: dict, bits: np.ndarray, literals: int) -> dict[int, list]:
+    """For each document, (item, diagonal, place in the item, length) of the windows that items have, too."""
+    hits: dict[int, list] = defaultdict(list)
+    for length, (keys, item, place) in lengths.items():
+        at, g = _windows(doc, code, kind, length, literals)
+        maybe = bits[(g >> _U(44)).astype(np.int64)]
+        at, g = at[maybe], g[maybe]
+        low, high = np.searchsorted(keys, g, "left"), np.searchsorted(keys, g, "right")
+        for x in np.flatnonzero(high > low):
+            d = int(doc[at[x]])
+            for y in range(low[x], high[x]):
+                hits[d].append((int(item[y]), int(at[x] - first[d]) - int(place[y]), int(place[y]), length))
+    return hits
+
+
 def find_items(buf: np.ndarray, off: np.ndarray, known: Templates, literals: int, cover: float, run: int):
     """For each document, [(item id, share of its windows, longest run of tokens)] of the items found."""
     out: list[list[tuple[int, float, int]]] = []
     for i, j in slices(off):
         doc, code, kind, value = canonical(buf[off[i] : off[j]], off[i : j + 1] - off[i])
         first = np.searchsorted(doc, np.arange(j - i + 1))
-        hits: dict[int, list] = defaultdict(list)
-        for length, (keys, item, place) in known.lengths.items():
-            at, g = _windows(doc, code, kind, length, literals)
-            maybe = known.bits[(g >> _U(44)).astype(np.int64)]
-            at, g = at[maybe], g[maybe]
-            low, high = np.searchsorted(keys, g, "left"), np.searchsorted(keys, g, "right")
-            for x in np.flatnonzero(high > low):
-                d = int(doc[at[x]])
-                for y in range(low[x], high[x]):
-                    hits[d].append((int(item[y]), int(at[x] - first[d]) - int(place[y]), int(place[y]), length))
+        hits = _hits(doc, code, kind, first, known.lengths, known.bits, literals)
+        plain: dict[int, list] = {}
+        if known.exact:
+            at, raw = exact(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            plain = _hits(at, raw, np.zeros(len(at), np.int64), np.searchsorted(at, np.arange(j - i + 1)), known.exact, known.bits, 0)
         for d in range(j - i):
             found = []
             by: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-            for item, diagonal, place, length in hits.get(d, ()):
+            for item, diagonal, place, length in [*hits.get(d, ()), *plain.get(d, ())]:
                 by[item][diagonal].append((place, length))
+            verbatim = {x[0] for x in plain.get(d, ())}  # such items have no other hits
             for item, diagonals in by.items():
                 places, best = set(), 0
                 for diagonal, windows in diagonals.items():
                     windows.sort()
-                    covered = np.unique(np.concatenate([np.arange(p, p + n) for p, n in windows]))
+                    covered = _covered(windows)
                     a, b = known.first[item] + covered, first[d] + diagonal + covered
-                    if not _consistent(known.value[a], value[b], known.kind[a]):
-                        continue
+                    if item not in verbatim and not _consistent(known.value[a], value[b], known.kind[a]):  # a and b are places of canonical tokens
+                        equal = set(covered[known.value[a] == value[b]].tolist())
+                        windows = [(p, n) for p, n in windows if equal.issuperset(range(p, p + n))]
+                        if not windows:
+                            continue
+                        covered = _covered(windows)
                     places |= {p for p, _ in windows}
                     edge = np.flatnonzero(np.diff(covered) > 1)
                     best = max(best, int(np.diff(np.concatenate([[-1], edge, [len(covered) - 1]])).max()))
@@ -203,8 +247,8 @@ def contaminated(
     """One row for each row of df: `id`, `items` (item_id, share of its windows, tokens in the longest run).
 
     With keep, the rows of df that no item is found in, with df's columns, instead. Defined cases: null and
-    empty texts hold no item; items without id or text, or with fewer than `literals` canonical tokens, are
-    not looked for; an item shorter than `window` tokens is one window, as long as it is; repeated items are
+    empty texts hold no item; items without id or text, or with fewer than `literals` tokens, are not
+    looked for; an item shorter than `window` tokens is one window, as long as it is; repeated items are
     found once for each id; repeated rows give repeated rows; empty tables are fine on either side; columns
     of df may have any names.
     """

@@ -50,3 +50,20 @@ def test_keep(make, items, bound):
 def test_empty_tables(make, items):
     assert contaminated(make([]), items).collect() == []
     assert [list(r["items"]) for r in contaminated(make([(1, "a")]), items.limit(0)).collect()] == [[]]
+
+
+def test_verbatim_parts_and_items_of_slots(spark, make):
+    words = " ".join(f"w{chr(97 + i)}" for i in range(26))
+    others = words.replace("w", "v")
+    items = [(1, f"{words} with 3 pears and 5 plums"), (2, f"take 3 {others} add 3"), (3, "Compute 12 + 7, 8 + 9, 14 + 3, 5 + 61"), (4, "7 kg 9 m 4 s")]
+    texts = [
+        (1, f"so {words} with 4 pears and 4 plums", [1]),
+        (2, f"so take 3 {others} add 7", [2]),
+        (3, "Do this. Compute 12 + 7, 8 + 9, 14 + 3, 5 + 61 now", [3]),
+        (4, "Do this. Compute 12 + 6, 8 + 1, 13 + 3, 5 + 62 now", []),
+        (5, "lift 7 kg 9 m 4 s long", [4]),
+        (6, "lift 7 kg 9 m 5 s long", []),
+    ]
+    df = make([x[:2] for x in texts])
+    got = contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.id, [x.item_id for x in r["items"]]) for r in got) == [(x[0], x[2]) for x in texts]
