@@ -5,7 +5,8 @@ its position in the low bits, inverted, so that the least value of a window is i
 equal hashes, the rightmost. A window is `window` consecutive grams, and the fingerprint is the set of the
 windows' minima with their positions. Any passage of k + window - 1 words that two texts share gives them a
 gram in common. Texts of at most `dense` grams keep all grams (windows of one), so that short texts can be
-compared; that keeps the guarantee.
+compared; that keeps the guarantee. Two texts are compared at one density: if either is longer than that, by
+the windows' minima of both.
 
 Whole arrays are handled by JVM expressions; nothing is exploded or shuffled for a fingerprint.
 """
@@ -32,7 +33,8 @@ def words(text: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = 3, window: int = 4, dense: int = 64) -> DataFrame:
-    """df with the column `out`: array<bigint>, the chosen entries in order of position.
+    """df with the column `out`: array<bigint>, the chosen entries in order of position; `{out}_thin`, those
+    that winnowing chooses whatever the text's size; `{out}_dense`, whether all grams are kept in `out`.
 
     hash_of and place_of take entries apart. A null text has the empty fingerprint of the empty text; a
     text of fewer than k words has one gram, all its words. Texts with equal words have equal fingerprints.
@@ -54,7 +56,8 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = 3, window:
         step, last = 2 * step, now
     chosen = F.array_distinct(F.slice(F.col(last), F.lit(1), F.greatest(F.size(g) - (window - 1), F.lit(1))))
     extra = [h, g, *[f"{m}{1 << i}" for i in range(window.bit_length() - 1)]]
-    return df.withColumn(out, F.when(F.size(g) <= dense, F.col(g)).otherwise(chosen)).drop(*extra)
+    df = df.withColumn(f"{out}_thin", chosen).withColumn(f"{out}_dense", F.size(g) <= dense)
+    return df.withColumn(out, F.when(F.col(f"{out}_dense"), F.col(g)).otherwise(F.col(f"{out}_thin"))).drop(*extra)
 
 
 def _with_later(column: str, step: int):
@@ -81,6 +84,15 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * both / total)
 
 
+def _with_near(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """df with the likeness of two fingerprints at one density: of all grams if both texts keep them, else of
+    the winnowed ones."""
+    both = F.col(f"{a}_dense") & F.col(f"{b}_dense")
+    for c in (a, b):
+        df = df.withColumn(f"_{out}_{c}", hashes_of(F.when(both, F.col(c)).otherwise(F.col(f"{c}_thin"))))
+    return df.withColumn(out, likeness(F.col(f"_{out}_{a}"), F.col(f"_{out}_{b}"))).drop(f"_{out}_{a}", f"_{out}_{b}")
+
+
 def digest(entries: Column) -> Column:
     """A fingerprint as one string: SHA-256 of its entries."""
     return F.sha2(F.array_join(F.transform(entries, lambda x: F.hex(x)), ".").cast("binary"), 256)
@@ -127,13 +139,13 @@ def edited_fingerprints(
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - tail), F.substring("next", F.lit(1), tail)))
     for source, out in (("text", "a"), ("edited", "b"), ("next", "c")):
         rows = with_fingerprint(rows, source, out, k, window, dense)
-    rows = rows.withColumn("ha", hashes_of(F.col("a"))).withColumn("hb", hashes_of(F.col("b"))).withColumn("hc", hashes_of(F.col("c")))
+    rows = _with_near(_with_near(rows, "a", "b", "near_edited"), "a", "c", "near_next")
     return rows.select(
         "id",
         F.col("n").cast("bigint").alias("n_chars"),
         "edited",
         F.col("a").alias("fingerprint"),
         F.col("b").alias("edited_fingerprint"),
-        likeness(F.col("ha"), F.col("hb")).alias("near_edited"),
-        likeness(F.col("ha"), F.col("hc")).alias("near_next"),
+        "near_edited",
+        "near_next",
     )

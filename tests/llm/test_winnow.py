@@ -64,6 +64,12 @@ def test_likeness_and_single_row(make):
     assert winnow.edited_fingerprints(make([])).collect() == []
 
 
+def test_likeness_across_the_dense_bound(make):
+    words = [f"w{i}" for i in range(68)]
+    rows = winnow.edited_fingerprints(make([(1, " ".join(words[:66])), (2, " ".join(words[:67]))])).collect()  # 64 and 65 grams
+    assert all(r.near_next > 0.9 for r in rows)
+
+
 def test_main_path_is_native(make, corpus):
     plan = winnow.edited_fingerprints(make(corpus))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
