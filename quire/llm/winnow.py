@@ -1,12 +1,12 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's k-grams are k consecutive words (white space between them does not count). Each gram's hash gets
-its position in the low bits, inverted, so that the least value of a window is its least hash and, among
+A text's k-grams are k consecutive words. Words are stretches between white space; a character of a script
+that is written without blanks (Han, Kana, Thai, Lao, Khmer, Burmese) is a word of its own. Each gram's hash
+gets its position in the low bits, inverted, so that the least value of a window is its least hash and, among
 equal hashes, the rightmost. A window is `window` consecutive grams, and the fingerprint is the set of the
-windows' minima with their positions. Any passage of k + window - 1 words that two texts share gives them a
-gram in common. Texts of at most `dense` grams keep all grams (windows of one), so that short texts can be
-compared; that keeps the guarantee. Two texts are compared at one density: if either is longer than that, by
-the windows' minima of both.
+windows' minima with their positions; a text with fewer grams is one window. The same rule holds for texts of
+all lengths, so any two fingerprints compare. Any passage of k + window - 1 words that two texts share gives
+them a gram in common.
 
 Whole arrays are handled by JVM expressions; nothing is exploded or shuffled for a fingerprint.
 """
@@ -25,16 +25,22 @@ _PLACES = (1 << PLACE_BITS) - 1
 _HASHES = (1 << 39) - 1
 
 
+#: Fixed value: the scripts whose words have no blanks between them.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+
+
 def words(text: Column) -> Column:
-    """Words between spaces, tabs, line feeds and carriage returns."""
+    """Words between spaces, tabs, line feeds and carriage returns; characters of unspaced scripts one by one."""
     for blank in ("\n", "\t", "\r", "\x0b", "\x0c"):
         text = F.replace(text, F.lit(blank), F.lit(" "))
+    # texts of one byte a character, most of them, hold none of these
+    wide = F.octet_length(text) > F.char_length(text)
+    text = F.when(wide, F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
     return F.array_remove(F.split(text, " "), "")
 
 
-def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = 3, window: int = 4, dense: int = 64) -> DataFrame:
-    """df with the column `out`: array<bigint>, the chosen entries in order of position; `{out}_thin`, those
-    that winnowing chooses whatever the text's size; `{out}_dense`, whether all grams are kept in `out`.
+def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = 3, window: int = 4) -> DataFrame:
+    """df with the column `out`: array<bigint>, the chosen entries in order of position.
 
     hash_of and place_of take entries apart. A null text has the empty fingerprint of the empty text; a
     text of fewer than k words has one gram, all its words. Texts with equal words have equal fingerprints.
@@ -55,9 +61,7 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = 3, window:
         df = df.withColumn(now, F.transform(F.col(last), _with_later(last, step)))
         step, last = 2 * step, now
     chosen = F.array_distinct(F.slice(F.col(last), F.lit(1), F.greatest(F.size(g) - (window - 1), F.lit(1))))
-    extra = [h, g, *[f"{m}{1 << i}" for i in range(window.bit_length() - 1)]]
-    df = df.withColumn(f"{out}_thin", chosen).withColumn(f"{out}_dense", F.size(g) <= dense)
-    return df.withColumn(out, F.when(F.col(f"{out}_dense"), F.col(g)).otherwise(F.col(f"{out}_thin"))).drop(*extra)
+    return df.withColumn(out, chosen).drop(h, g, *[f"{m}{1 << i}" for i in range(window.bit_length() - 1)])
 
 
 def _with_later(column: str, step: int):
@@ -84,15 +88,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * both / total)
 
 
-def _with_near(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """df with the likeness of two fingerprints at one density: of all grams if both texts keep them, else of
-    the winnowed ones."""
-    both = F.col(f"{a}_dense") & F.col(f"{b}_dense")
-    for c in (a, b):
-        df = df.withColumn(f"_{out}_{c}", hashes_of(F.when(both, F.col(c)).otherwise(F.col(f"{c}_thin"))))
-    return df.withColumn(out, likeness(F.col(f"_{out}_{a}"), F.col(f"_{out}_{b}"))).drop(f"_{out}_{a}", f"_{out}_{b}")
-
-
 def digest(entries: Column) -> Column:
     """A fingerprint as one string: SHA-256 of its entries."""
     return F.sha2(F.array_join(F.transform(entries, lambda x: F.hex(x)), ".").cast("binary"), 256)
@@ -123,7 +118,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFra
 
 
 def edited_fingerprints(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, window: int = 4, dense: int = 64
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, window: int = 2
 ) -> DataFrame:
     """Fingerprints of every text and of its edit, and how alike they are.
 
@@ -138,8 +133,9 @@ def edited_fingerprints(
     tail = F.expr("n div 2").cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - tail), F.substring("next", F.lit(1), tail)))
     for source, out in (("text", "a"), ("edited", "b"), ("next", "c")):
-        rows = with_fingerprint(rows, source, out, k, window, dense)
-    rows = _with_near(_with_near(rows, "a", "b", "near_edited"), "a", "c", "near_next")
+        rows = with_fingerprint(rows, source, out, k, window).withColumn(f"{out}_hashes", hashes_of(F.col(out)))
+    rows = rows.withColumn("near_edited", likeness(F.col("a_hashes"), F.col("b_hashes")))
+    rows = rows.withColumn("near_next", likeness(F.col("a_hashes"), F.col("c_hashes")))
     return rows.select(
         "id",
         F.col("n").cast("bigint").alias("n_chars"),
