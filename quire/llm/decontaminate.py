@@ -6,9 +6,11 @@ not count. The windows of `window` canonical tokens of all benchmark items are h
 all texts. Hits of one item on one diagonal (text position minus item position) are an alignment; its slots
 are consistent if each value in the item stands for one value in the text and the other way round, so a
 question whose numbers or names were exchanged throughout is still found, and a chance match of templates is
-not; of an alignment that is not consistent, the windows count whose values are all equal. An item without a
-template window (most of its tokens are slots) is looked for by windows of its tokens as they are. A text is contaminated by an item if consistent alignments cover at least `cover` of its windows, or
-at least `run` consecutive tokens.
+not. A window needs one literal word; an alignment counts if its windows cover `literals` literal words. Of an
+alignment that does not count, the windows still do whose values are all equal. An item with fewer literal
+words (its tokens are nearly all slots) is looked for by windows of its tokens as they are. A text is
+contaminated by an item if counted windows are at least `cover` of the item's, or hold at least `run`
+consecutive tokens.
 
 The item side of the join is held in memory, in blocks of at most `bound` windows; a larger benchmark is
 joined in several passes. Texts are never shuffled.
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import slices, text_bytes
-from ._tokens import LOWER, _DIGIT, _LETTER, grams, hashes, mix, runs
+from ._tokens import LOWER, _DIGIT, _LETTER, grams, group_starts, hashes, mix, runs
 
 _U = np.uint64
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
@@ -129,18 +131,17 @@ class Templates:
         doc, self.code, self.kind, self.value = canonical(buf, off)
         self.first = np.searchsorted(doc, np.arange(len(self.ids) + 1))
         self.total = np.zeros(len(self.ids), np.int64)
-        sizes = np.diff(self.first)
-        self.lengths = self._indexed(doc, self.code, self.kind, self.first, sizes >= literals, window, literals)
+        words = np.bincount(doc[self.kind == LITERAL], minlength=len(self.ids))
+        self.lengths = self._indexed(doc, self.code, self.kind, self.first, words >= literals, window, 1)
         doc, value = exact(buf, off)
         first = np.searchsorted(doc, np.arange(len(self.ids) + 1))
-        rare = (self.total == 0) & (np.diff(first) >= literals)
-        self.exact = self._indexed(doc, value, np.zeros(len(doc), np.int64), first, rare, window, 0) if rare.any() else {}
+        self.plain = (words < literals) & (np.diff(first) >= literals)
+        self.exact = self._indexed(doc, value, np.zeros(len(doc), np.int64), first, self.plain, window, 0) if self.plain.any() else {}
         bits = np.zeros(1 << 20, bool)
         for g, _, _ in [*self.lengths.values(), *self.exact.values()]:
             bits[(g >> _U(44)).astype(np.int64)] = True
         self.bits = bits
 
-
     def _indexed(self, doc: np.ndarray, code: np.ndarray, kind: np.ndarray, first: np.ndarray, wanted: np.ndarray, window: int, literals: int) -> dict:
         """For each length, the windows of the wanted items of that length: sorted hashes, items, places."""
         sizes, out = np.diff(first), {}
@@ -169,61 +170,63 @@ def _consistent(item_value: np.ndarray, text_value: np.ndarray, kind: np.ndarray
     return True
 
 
-def _covered(windows: list[tuple[int, int]]) -> np.ndarray:
+def _covered(windows: list) -> np.ndarray:
     return np.unique(np.concatenate([np.arange(p, p + n) for p, n in windows]))
 
 
-def _hits(doc: np.ndarray, code: np.ndarray, kind: np.ndarray, first: np.ndarray, lengths: dict, bits: np.ndarray, literals: int) -> dict[int, list]:
-    """For each document, (item, diagonal, place in the item, length) of the windows that items have, too."""
-    hits: dict[int, list] = defaultdict(list)
+def _hits(doc: np.ndarray, code: np.ndarray, kind: np.ndarray, first: np.ndarray, lengths: dict, bits: np.ndarray, literals: int) -> np.ndarray:
+    """(document, item, diagonal, place in the item, length) of all windows that texts share with items."""
+    out = [np.empty((0, 5), np.int64)]
     for length, (keys, item, place) in lengths.items():
         at, g = _windows(doc, code, kind, length, literals)
         maybe = bits[(g >> _U(44)).astype(np.int64)]
         at, g = at[maybe], g[maybe]
         low, high = np.searchsorted(keys, g, "left"), np.searchsorted(keys, g, "right")
-        for x in np.flatnonzero(high > low):
-            d = int(doc[at[x]])
-            for y in range(low[x], high[x]):
-                hits[d].append((int(item[y]), int(at[x] - first[d]) - int(place[y]), int(place[y]), length))
-    return hits
+        n = high - low
+        text = np.repeat(at, n)
+        known = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        d = doc[text]
+        out.append(np.stack([d, item[known], text - first[d] - place[known], place[known], np.full(len(d), length)], 1))
+    return np.concatenate(out)
 
 
 def find_items(buf: np.ndarray, off: np.ndarray, known: Templates, literals: int, cover: float, run: int):
     """For each document, [(item id, share of its windows, longest run of tokens)] of the items found."""
     out: list[list[tuple[int, float, int]]] = []
     for i, j in slices(off):
-        doc, code, kind, value = canonical(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        raw, own = buf[off[i] : off[j]], off[i : j + 1] - off[i]
+        doc, code, kind, value = canonical(raw, own)
         first = np.searchsorted(doc, np.arange(j - i + 1))
-        hits = _hits(doc, code, kind, first, known.lengths, known.bits, literals)
-        plain: dict[int, list] = {}
+        hits = _hits(doc, code, kind, first, known.lengths, known.bits, 1)
         if known.exact:
-            at, raw = exact(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            plain = _hits(at, raw, np.zeros(len(at), np.int64), np.searchsorted(at, np.arange(j - i + 1)), known.exact, known.bits, 0)
-        for d in range(j - i):
-            found = []
-            by: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-            for item, diagonal, place, length in [*hits.get(d, ()), *plain.get(d, ())]:
-                by[item][diagonal].append((place, length))
-            verbatim = {x[0] for x in plain.get(d, ())}  # such items have no other hits
-            for item, diagonals in by.items():
-                places, best = set(), 0
-                for diagonal, windows in diagonals.items():
-                    windows.sort()
+            at, plain = exact(raw, own)
+            hits = np.concatenate([hits, _hits(at, plain, np.zeros(len(at), np.int64), np.searchsorted(at, np.arange(j - i + 1)), known.exact, known.bits, 0)])
+        hits = hits[np.lexsort(hits.T[::-1])]
+        places: dict[tuple[int, int], set[int]] = defaultdict(set)
+        best: dict[tuple[int, int], int] = defaultdict(int)
+        heads = group_starts(hits[:, 0], hits[:, 1], hits[:, 2])
+        for a, b in zip(heads, np.append(heads, len(hits))[1:], strict=True):  # one alignment
+            d, item, diagonal = hits[a, :3].tolist()
+            windows = hits[a:b, 3:].tolist()
+            covered = _covered(windows)
+            if not known.plain[item]:
+                x, y = known.first[item] + covered, first[d] + diagonal + covered
+                told = (known.kind[x] == LITERAL).sum() >= literals
+                if not told or not _consistent(known.value[x], value[y], known.kind[x]):
+                    equal = set(covered[known.value[x] == value[y]].tolist())
+                    windows = [(p, n) for p, n in windows if equal.issuperset(range(p, p + n))]
+                    if not windows:
+                        continue
                     covered = _covered(windows)
-                    a, b = known.first[item] + covered, first[d] + diagonal + covered
-                    if item not in verbatim and not _consistent(known.value[a], value[b], known.kind[a]):  # a and b are places of canonical tokens
-                        equal = set(covered[known.value[a] == value[b]].tolist())
-                        windows = [(p, n) for p, n in windows if equal.issuperset(range(p, p + n))]
-                        if not windows:
-                            continue
-                        covered = _covered(windows)
-                    places |= {p for p, _ in windows}
-                    edge = np.flatnonzero(np.diff(covered) > 1)
-                    best = max(best, int(np.diff(np.concatenate([[-1], edge, [len(covered) - 1]])).max()))
-                share = len(places) / max(1, int(known.total[item]))
-                if places and (share >= cover or best >= run):
-                    found.append((int(known.ids[item]), share, best))
-            out.append(sorted(found))
+            places[d, item].update(p for p, _ in windows)
+            edge = np.flatnonzero(np.diff(covered) > 1)
+            best[d, item] = max(best[d, item], int(np.diff(np.concatenate([[-1], edge, [len(covered) - 1]])).max()))
+        found: list[list[tuple[int, float, int]]] = [[] for _ in range(j - i)]
+        for (d, item), at in places.items():
+            share = len(at) / max(1, int(known.total[item]))
+            if share >= cover or best[d, item] >= run:
+                found[d].append((int(known.ids[item]), share, best[d, item]))
+        out += [sorted(x) for x in found]
     return out
 
 
@@ -248,7 +251,7 @@ def contaminated(
 
     With keep, the rows of df that no item is found in, with df's columns, instead. Defined cases: null and
     empty texts hold no item; items without id or text, or with fewer than `literals` tokens, are not
-    looked for; an item shorter than `window` tokens is one window, as long as it is; repeated items are
+    looked for (they are no evidence); an item shorter than `window` tokens is one window, as long as it is; repeated items are
     found once for each id; repeated rows give repeated rows; empty tables are fine on either side; columns
     of df may have any names.
     """
