@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import slices, text_bytes
-from ._storage import small, staged
+from ._storage import looked_up, staged
 from ._tokens import _LETTER, constants, mix
 
 _U = np.uint64
@@ -106,6 +106,8 @@ def identify_languages(
     host and declared are columns of df; a host's domain is its last two labels and its suffix the last one
     (of a host with a dot), a declaration counts by its part before the first - or _. A row is rejected,
     with language null, if its text has no letters or no language has a posterior of at least `sure`.
+    Rows are joined with the sums of their host by broadcast while hosts are few; beyond that, hosts with many
+    rows still are, and rows without a host are not shuffled.
     Defined cases: null and empty texts are rejected; null hosts and declarations are no evidence; a model
     without languages rejects all; repeated rows give repeated rows; an empty table gives an empty table.
     """
@@ -149,8 +151,9 @@ def identify_languages(
 
     out = scored
     for level in ("host", "domain", "declared", "suffix"):
-        sums = spoken.where(F.col(level).isNotNull()).groupBy(level).agg(F.array(*[F.sum(F.col("p")[i]) for i in range(k)]).alias(f"{level}_sum"))
-        out = out.join(small(sums), level, "left")
+        sums = spoken.where(F.col(level).isNotNull()).groupBy(level)
+        sums = sums.agg(F.array(*[F.sum(F.col("p")[i]) for i in range(k)]).alias(f"{level}_sum"), F.count("*").alias("_rows"))
+        out = looked_up(out, sums, level, "_rows", int(total[k]))
 
     def rest(level: str, i: int) -> Column:
         own = F.when(F.col("n_trigrams") > 0, F.col("p")[i]).otherwise(0.0)
