@@ -1,5 +1,10 @@
 import itertools
 import random
+import re
+import time
+
+import numpy as np
+import pyarrow.parquet as pq
 
 from quire.llm import mincut
 
@@ -62,3 +67,49 @@ def test_minimum_cut():
 def test_many_blocks_are_fast():
     page = "<body>" + "".join(f"<div><p>w{i}</p><a>l</a></div>" for i in range(5000))
     assert mincut.main_text(page)[1] == 10000
+
+
+def test_names_alone_do_not_decide():
+    body = "<p>A first paragraph with enough words to be read as text.</p>"
+    more = '<p class="more">And a second one that goes on with what the first one says.</p>'
+    effects = '<div class="side-effects"><p>Sleep, rest and water, and what they do to those who take it.</p></div>'
+    for page in (f"<article>{body}{more}{effects}{body}</article>", f"<div>{body}{more}{effects}{body}</div>"):
+        assert len(mincut.main_text(f"<body><nav><a>x</a></nav>{page}</body>")[0].split("\n")) == 4
+    assert len(mincut.main_text(f'<body><article>{body}<p class="ad">Buy one now, and get one more.</p>{body}</article></body>')[0].split("\n")) == 2
+
+
+def stripped(page):
+    """A page without the tags that say what is an article."""
+    return re.sub(r"<(/?)(?:article|main|nav|footer|aside|header)\b[^>]*>", r"<\1div>", page)
+
+
+def test_the_cut_helps_where_tags_do_not_say():
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet")["html"].to_pylist()
+    model = mincut.fit_cut(pages[:300])
+    alone = cut = moved = total = 0
+    for page in pages[300:1500]:
+        truth, blocks = mincut.weak_labels(mincut.blocks_of(page)), mincut.blocks_of(stripped(page))
+        assert len(truth) == len(blocks)
+        scores = mincut.content_scores(blocks, model)
+        kept = mincut.minimum_cut(scores, mincut._edges(blocks, model))
+        for s, k, y in zip(scores, kept, truth, strict=True):
+            if y >= 0:
+                total, alone, cut, moved = total + 1, alone + ((s > 0) == y), cut + (k == y), moved + ((s > 0) != k)
+    assert moved > 0 and cut > alone and cut >= 0.999 * total
+
+
+def test_fit():
+    assert mincut.fit_cut([]) is mincut.DEFAULT and mincut.fit_cut(["<p>text without an article"]) is mincut.DEFAULT
+    page = "<body><nav><p>one</p></nav><article>" + "<p>Two words.</p>" * 5 + "</article></body>"
+    model = mincut.fit_cut([page] * 20)
+    assert np.abs(model.weights - mincut.DEFAULT.weights).max() < 3 and (model.near <= mincut.PULL).all()
+
+
+def test_unclosed_raw_tags_are_fast():
+    began = time.time()
+    assert mincut.main_text("<body>" + "<p>a few words of text.</p><svg><math>" * 40_000)[1] == 40_000
+    assert time.time() - began < 20
+
+
+def test_ties_go_to_boilerplate():
+    assert mincut.minimum_cut([0.0, 1.0, -1.0], [(1, 2, 1.0)]) == [False, False, False]
