@@ -1,4 +1,4 @@
-"""Rows in blocks of consecutive ids, dealt without a global sort."""
+"""Keys of rows, and blocks of consecutive ids dealt without a global sort."""
 
 from __future__ import annotations
 
@@ -25,3 +25,8 @@ def block_of(df: DataFrame, key: str, blocks: int) -> Column:
     row = F.greatest(F.size(F.filter(F.array(*[F.lit(r[0]) for r in rows]), at_most)) - 1, F.lit(0))
     fine = F.array(*[F.array(*[F.lit(x) for x in r]) for r in rows])
     return (row * wide + F.size(F.filter(fine[row], at_most))).cast("int")
+
+
+def row_key(*columns: str) -> Column:
+    """A 64-bit hash of a row's values, nulls included: the same for equal rows, under any partitioning."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])

@@ -105,7 +105,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return chosen_path.near_classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return chosen_path.near_classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

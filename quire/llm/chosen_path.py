@@ -8,9 +8,12 @@ is still over the bound at full depth is compared as pairs of blocks of half the
 than `depth`, and `runs` are as many as miss a pair at the least similarity with probability 1 - recall at
 most where all its buckets have full depth (see `_runs`); pairs in shorter paths are missed less often.
 
-What the buckets give are candidates. They are joined to components, each document's shingles are sent to
-its component once, and every pair of a component is checked exactly there; components over `block` nodes
-are checked as pairs of blocks, so no task holds more than two blocks. Links are counted, not emitted.
+What the buckets give are candidates, joined to components. Sketches of `size` minima let pairs well below the
+least similarity pass, which could join many texts of one template; so the nodes of a component over `block`
+nodes are compared once more, on sketches of `fine` minima, and joined anew. Each node's shingles are sent to
+its component once, and every pair of a component is checked exactly there; components over `block` nodes or
+`bytes` bytes are checked as pairs of blocks, so no task holds more than two blocks. Links are counted, not
+emitted.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import slices, text_bytes
-from ._storage import small, staged
+from ._order import row_key
+from ._storage import looked_up, small, staged
 from ._tokens import GOLDEN, constants, grams, group_starts, mix, word_hashes
 from .components import connected
 
@@ -93,8 +97,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int, size: int) -> Iterator[
             sketches += [low[x].tobytes() for x in range(j - i)]
         n = np.concatenate(counts) if counts else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_id"), pa.array(nodes, pa.binary()), pa.array(n, pa.int32()), pa.array(sketches, pa.binary())],
-            ["id", "node", "n", "sketch"],
+            [batch.column("_id"), batch.column("_row"), pa.array(nodes, pa.binary()), pa.array(n, pa.int32()), pa.array(sketches, pa.binary())],
+            ["id", "row", "node", "n", "sketch"],
         )
 
 
@@ -160,10 +164,15 @@ def _paths(nodes: DataFrame, runs: int, depth: int, size: int, bucket: int) -> D
             token = F.substring("sketch", tokens[F.col("run")][d], 1)
             rows = rows.withColumn("key", F.when(F.col("open"), F.xxhash64("key", token)).otherwise(F.col("key")))
     of = F.when(F.col("open"), F.ceil(2 * F.col("over") / bucket)).otherwise(1).cast("int")
-    rows = rows.withColumn("of", of).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("of")).cast("int"))
+    return _block_pairs(rows.withColumn("of", of)).select("run", "key", "p", "q", "node", "sketch")
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """rows dealt into `of` blocks, and to each pair (p, q) of different ones that their block is in."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("of")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("of") - 1), lambda x: (x != F.col("own")) | (F.col("of") == 1))
     rows = rows.withColumn("other", F.explode(others))
-    return rows.select("run", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "sketch")
+    return rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
 
 
 def _brute(sketch: np.ndarray, group: np.ndarray, agree: int, reach: int) -> np.ndarray:
@@ -338,6 +347,36 @@ def _overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return np.rint(inter).astype(np.int64)
 
 
+def _agree(s: float, size: int, sigmas: float = 4.0) -> int:
+    """Of `size` minima, how many agree at least for sets of similarity s, but for chance deviations."""
+    return math.floor(size * (s - sigmas * math.sqrt(s * (1 - s) / size)))
+
+
+def _refined(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, fine: int, s: float, reach: int, bucket: int, block: int) -> DataFrame:
+    """members (node, root) with the components of over `block` nodes joined anew, on sketches of `fine` minima."""
+    spark = members.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = staged(members.groupBy("root").count().where(F.col("count") > block), "large")
+    if not sizes.limit(1).count():
+        return members
+    large = members.join(small(sizes), "root").join(nodes.select("node", "row"), "node")
+    large = staged(large.select("row", F.xxhash64("root").alias("key"), F.ceil(2 * F.col("count") / bucket).cast("int").alias("of")), "large")
+    found = docs.join(small(large), docs["_row"] == large["row"]).select("_id", "_row", "_text", "key", "of")
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for out in _sketches(iter([batch]), k, fine):
+                low = [np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in out.column("sketch").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("of"), out.column("node"), pa.array(low, pa.binary())], ["key", "of", "node", "sketch"])
+
+    rows = found.mapInArrow(sketches, "key bigint, of int, node binary, sketch binary")
+    rows = _block_pairs(rows).select(F.lit(0).alias("run"), "key", "p", "q", "node", "sketch")
+    dealt = rows.repartition(width, "key", "p", "q").sortWithinPartitions(*GROUP, "node")
+    again = connected(dealt.mapInArrow(lambda x: _candidates(x, _agree(s, fine), reach, bucket), "a binary, b binary"))
+    kept = members.join(small(sizes.select("root")), "root", "left_anti")
+    return staged(kept.select("node", "root").unionByName(again.select("node", "root")), "members")
+
+
 def near_classes(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -350,14 +389,17 @@ def near_classes(
     depth: int = 3,
     reach: int = 48,
     block: int = 1024,
+    fine: int = 512,
+    bytes: int = 16 << 20,
 ) -> DataFrame:
-    """One row for each row of df: `id`, `class_id`, `n_links`.
+    """One row for each row of df: `id`, `class_id`, `n_links`, `row`, `class_row`.
 
     Texts are compared by their sets of k consecutive words (white-space separated, as they are; a text of
     fewer words has one shingle, all of it). Two distinct sets are linked if their Jaccard similarity is at
     least `similarity`, a fraction compared exactly. `n_links` is the number of other distinct sets that a
     text's set is linked to; equal sets are one node. `class_id` is the least id of the rows whose sets are
-    connected by links.
+    connected by links. `row` is row_key of the id and the text, and `class_row` that of the first row of
+    the class, by id (null last) and key: the row to keep where one of each class is to stay.
 
     Defined cases: null and empty texts have the empty set, which is equal to itself and linked to nothing;
     rows with equal ids are separate rows, classed by their texts; a null id is never a class id unless all
@@ -367,19 +409,22 @@ def near_classes(
     num, den = similarity
     s = num / den
     runs = _runs(s, depth, size, recall)
-    agree = math.floor(size * (s - 4 * math.sqrt(s * (1 - s) / size)))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    docs = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    docs = docs.select("_id", row_key("_id", "_text").alias("_row"), F.coalesce("_text", F.lit("")).alias("_text"))
 
-    rows = staged(docs.mapInArrow(lambda x: _sketches(x, k, size), "id bigint, node binary, n int, sketch binary"), "sketches")
-    nodes = staged(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    rows = staged(docs.mapInArrow(lambda x: _sketches(x, k, size), "id bigint, row bigint, node binary, n int, sketch binary"), "sketches")
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("rep")
+    nodes = rows.groupBy("node").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
+    nodes = staged(nodes.withColumn("row", F.col("rep.row")), "nodes")
     paths = _paths(nodes, runs, depth, size, bucket)
     dealt = paths.repartition(width, "key", "p", "q").sortWithinPartitions(*GROUP, "node")
-    pairs = dealt.mapInArrow(lambda x: _candidates(x, agree, reach, bucket), "a binary, b binary")
-    members = staged(connected(pairs), "members")
-    wanted = members.join(nodes.select("node", "rep"), "node")
-    parts = members.groupBy("root").agg(F.count("*").alias("of")).where("of > 1").withColumn("of", F.ceil(F.col("of") / block).cast("int"))
-    wanted = staged(wanted.join(small(parts), "root").select("root", "of", "node", "rep"), "wanted")
+    pairs = dealt.mapInArrow(lambda x: _candidates(x, _agree(s, size), reach, bucket), "a binary, b binary")
+    members = _refined(staged(connected(pairs), "members"), nodes, docs, k, fine, s, reach, bucket, block)
+    wanted = members.join(nodes.select("node", "row", "n"), "node")
+    parts = wanted.groupBy("root").agg(F.count("*").alias("of"), F.sum("n").alias("shingles")).where("of > 1")
+    parts = parts.select("root", F.greatest(F.ceil(F.col("of") / block), F.ceil(8 * F.col("shingles") / bytes)).cast("int").alias("of"))
+    wanted = staged(wanted.join(small(parts), "root").select("root", "of", "node", "row"), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,7 +442,7 @@ def near_classes(
             out = pa.Table.from_batches([batch]).select(["root", "of", "node"]).take(pa.array(keep, pa.int64()))
             yield from out.append_column("grams", pa.array(raw, pa.binary())).combine_chunks().to_batches()
 
-    found = docs.join(small(wanted), docs["_id"].eqNullSafe(wanted["rep"])).select("_text", "root", "of", "node")
+    found = docs.join(small(wanted), docs["_row"] == wanted["row"]).select("_text", "root", "of", "node")
     grams_of = found.mapInArrow(sets, "root binary, of int, node binary, grams binary")
     own = F.pmod(F.xxhash64("node"), F.col("of")).cast("int")
     grams_of = grams_of.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
@@ -414,8 +459,8 @@ def near_classes(
     linked = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = connected(checked, "node", "least")
     named = roots.join(nodes.select("node", "rep"), "node").join(linked, "node")
-    least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    classes = named.join(least, "root").select("node", "class_id", "n_links")
-    full = nodes.select("node", "rep").join(classes, "node", "left")
-    full = full.select("node", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    return rows.select("id", "node").join(small(staged(full, "classes")), "node").select("id", "class_id", "n_links")
+    least = named.groupBy("root").agg(F.min("rep").alias("best"), F.count("*").alias("weight"))
+    classes = looked_up(named, staged(least, "classes"), "root", "weight", members.count()).select("node", "best", "n_links")
+    full = nodes.select("node", "rep", "copies").join(classes, "node", "left").withColumn("best", F.coalesce("best", "rep"))
+    full = full.select("node", F.col("best.id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("best.row").alias("class_row"), "copies")
+    return looked_up(rows.select("id", "row", "node"), staged(full, "classes"), "node", "copies", rows.count()).select("id", "class_id", "n_links", "row", "class_row")

@@ -25,10 +25,11 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import text_bytes
+from ._order import row_key
 from ._storage import delete_on_exit, shared_dir, staged, sweeping
 from ._tokens import constants, mix
 
@@ -124,11 +125,6 @@ class Layout:
         return np.dtype([("doc_id", "<i8"), ("sequence", "<i4"), ("n_tokens", "<i4"), ("known", "u1"), ids, ("end", "u1")])
 
 
-def _order(rows: DataFrame) -> Column:
-    """A hash of a row's id and text; null ids and texts differ from all others."""
-    return F.xxhash64(F.col("id").isNull(), "id", F.col("text").isNull(), "text")
-
-
 def numbered(df: DataFrame, id_col: str, text_col: str, length: int, path: str) -> DataFrame:
     """(id, task, start, count, ids, hash): tokens of each row, written in order of (hash, id, a second hash),
     with the number of the row's first sequence in its range. Equal rows may change places."""
@@ -158,7 +154,7 @@ def numbered(df: DataFrame, id_col: str, text_col: str, length: int, path: str)
             )
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("id", _order(rows).alias("hash"), F.xxhash64("text", F.lit(7)).alias("again"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("id", row_key("id", "text").alias("hash"), F.xxhash64("text", F.lit(7)).alias("again"), F.coalesce("text", F.lit("")).alias("text"))
     made = rows.mapInArrow(tokens, "id bigint, hash bigint, again bigint, count int, ids binary")
     part = F.expr(f"cast(((hash >> 33) + 1073741824) * {parts} div 2147483648 as int)")
     made = made.repartitionById(parts, part).sortWithinPartitions("hash", "id", "again")

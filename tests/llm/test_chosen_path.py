@@ -4,6 +4,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from quire.llm import chosen_path
 from quire.llm.chosen_path import near_classes
 from quire.llm.components import connected
 
@@ -91,6 +94,46 @@ def test_buckets_over_the_bound_at_full_depth(make, pairs_in_a_large_group):
     assert len(found & set(want)) >= 0.998 * len(want)
 
 
+def test_texts_of_one_template(make):
+    """Texts of similarity about 0.63, none linked, and some near copies among them: small components, all links."""
+    rng = random.Random(3)
+    base, texts = [f"t{i}" for i in range(400)], []
+    for i in range(500):
+        own = list(base)
+        for at in rng.sample(range(0, 400, 5), 20):
+            own[at] = f"x{i}y{at}"
+        texts.append((i, " ".join(own)))
+        if i % 25 == 0:
+            own[3] = f"n{i}"
+            texts.append((1000 + i, " ".join(own)))
+    want = brute(texts)
+    assert sum(n for _, _, n in want) == 40
+    assert got(make(texts), block=40, bucket=64) == want
+    sizes = []
+    refined = chosen_path._refined
+
+    def counting(*args):
+        out = refined(*args)
+        sizes.append((args[0].groupBy("root").count().agg(F.max("count")).first()[0], out.groupBy("root").count().agg(F.max("count")).first()[0]))
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(chosen_path, "_refined", counting)
+        assert got(make(texts), block=40) == want
+    assert sizes[0][0] > 40 and sizes[0][1] < 20
+
+
+def test_one_row_of_each_class(make):
+    texts = [(1, "a text of some words that is here twice"), (None, "a text of some words that is here twice"), (None, "a text of some words that is here twice")]
+    texts += [(1, "other"), (5, "third one"), (5, "other"), (None, None)]
+    rows = near_classes(make(texts)).collect()
+    assert sorted(str(r.id) for r in rows if r.row == r.class_row) == ["1", "1", "5", "None"]
+
+
+def test_many_bytes_are_checked_in_blocks(make, corpus):
+    assert got(make(corpus), bytes=2000) == brute(corpus)
+
+
 def test_empty_table(make):
     assert near_classes(make([])).collect() == []
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import shards
+from quire.llm._order import row_key
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 255, 1000, 65537])
@@ -33,7 +34,7 @@ def taken(rows):
 
 def test_against_brute_force_under_any_partitioning(spark, make, corpus):
     df = make(corpus)
-    keyed = df.select(F.col("doc_id").alias("id"), "text").withColumn("h", shards._order(df.select(F.col("doc_id").alias("id"), "text")))
+    keyed = df.select(F.col("doc_id").alias("id"), "text").withColumn("h", row_key("id", "text"))
     order = [(r.id, r.text) for r in sorted(keyed.collect(), key=lambda r: (r.h, r.id is not None, r.id or 0))]
     want = brute(corpus, order, 32, 9)
     for rows in (df.coalesce(1), df.repartition(5), df.orderBy(F.desc("text")).repartition(13)):
