@@ -1,4 +1,10 @@
-"""A corpus pipeline of five of the operators; each stage is written as Parquet and read again by the next."""
+"""A corpus pipeline of five of the operators; each stage is written as Parquet and read again by the next.
+
+Stages decide on rows, not on ids: a row's verdict is found again by a key of its values (_keyed), so null and
+repeated ids are rows like any others, and equal rows share their verdict. Keys have 64 bits; that two different
+rows share one, and a clean row goes with a rejected one, is to be expected once in 2^64 pairs of such rows.
+An empty table passes through all stages; the last one then has no slots.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import chosen_path, decontaminate, language, mixing, shards
+from quire.llm._order import row_key
 from quire.llm._storage import small, staged
 from quire.session import lean_workers, prepare, table
 
@@ -14,26 +21,29 @@ ORACLE_SQL = None
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; those that language ID rejects go."""
+    """Documents in a language that the model knows; those that language ID rejects go: texts that are null, or
+    without letters, or in no language that is more likely than not."""
     _set_up(spark)
-    found = language.identify_languages(docs, language.fit_languages(docs), host=F.col("source"))
+    keyed, key = _keyed(docs, *docs.columns)
+    found = language.identify_languages(keyed, language.fit_languages(docs), id_col=key, host=F.col("source"))
     # written first, for a filter on the posterior would be evaluated below the projections that make it
     found = staged(found.select("id", "accepted"), "accepted")
-    return _without(docs, found.where(~F.col("accepted")).select("id").distinct())
+    return _without(keyed, key, found.where(~F.col("accepted")).select("id"))
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near copies; of rows with that id, one."""
+    """The first document, by id (null last), of each class of near copies; of equal rows, one. Null and empty
+    texts are a class of their own."""
     _set_up(spark)
-    classes = staged(chosen_path.near_classes(docs), "classes")
-    first = classes.where(F.col("id").eqNullSafe(F.col("class_id")))
-    left = _without(docs, classes.join(first.select("id").distinct(), "id", "left_anti").select("id").distinct())
-    twice = staged(first.groupBy("id").count().where("count > 1").select("id"), "twice")
+    classes = staged(chosen_path.near_classes(docs).select("row", (F.col("row") == F.col("class_row")).alias("first")), "classes")
+    keyed, key = _keyed(docs, "doc_id", "text")
+    left = _without(keyed, key, classes.where(~F.col("first")).select(F.col("row").alias("id")))
+    twice = staged(classes.where("first").groupBy("row").count().where("count > 1").select(F.col("row").alias("id")), "twice")
     if not twice.limit(1).count():
         return left
-    same = left["doc_id"].eqNullSafe(twice["id"])
-    again = left.join(small(twice), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(small(twice), same, "left_anti").unionByName(again)
+    keyed, key = _keyed(left, "doc_id", "text")
+    again = keyed.join(small(twice), F.col(key) == twice["id"], "left_semi").dropDuplicates([key]).drop(key)
+    return _without(keyed, key, twice).unionByName(again)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +53,19 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says, whole copies by a hash of its id."""
+    """Each document as often as its rate says, whole copies by a hash of its values. A row without tokens has the
+    rate of a row without evidence."""
     _set_up(spark)
     model = mixing.fit_from_tables(docs, table(spark, sf_dir, "labels"))
-    rates = mixing.mixed(docs, model, mixing.TARGETS).groupBy("id").agg(F.max("copies").alias("copies"))
+    keyed, key = _keyed(docs, *docs.columns)
+    rates = mixing.mixed(keyed, model, mixing.TARGETS, id_col=key).groupBy("id").agg(F.max("copies").alias("copies"))
     rates = staged(rates, "copies")
-    rows = docs.join(small(rates), docs["doc_id"].eqNullSafe(rates["id"])).where("copies > 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = keyed.join(small(rates), F.col(key) == rates["id"]).where("copies > 0")
+    return rows.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def materialise_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences at their slots."""
+    """Token sequences at their slots, read back from the shards that were written."""
     _set_up(spark)
     return shards.training_order(docs)
 
@@ -63,8 +75,15 @@ def _set_up(spark: SparkSession) -> None:
     lean_workers(spark)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(small(ids), docs["doc_id"] == ids["id"], "left_anti")
+def _keyed(docs: DataFrame, *columns: str) -> tuple[DataFrame, str]:
+    """docs with a key of these columns' values, and the name of that column, which docs does not have."""
+    name = "_key" + "_" * max(map(len, docs.columns))
+    return docs.withColumn(name, row_key(*columns)), name
+
+
+def _without(keyed: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    ids = ids.distinct()
+    return keyed.join(small(ids), F.col(key) == ids["id"], "left_anti").drop(key)
 
 
 STAGES = [
