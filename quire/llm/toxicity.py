@@ -8,7 +8,7 @@ an end, and no two can be joined for a gain). Under chance the best segment of n
 probability 1 - exp(-K n exp(-lambda x)); lambda and K are fitted to clean texts, and the best sum of a
 text's segments is turned into evidence by the distribution of such sums. A logistic curve of the
 evidence's logarithm gives the score; it is fitted on a third of the sample that the odds do not use. A token
-that repeats the one before adds nothing.
+that repeats the one before it in its text costs drift, whatever it is.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ class ToxicityModel:
     slope: float = 1.0
     level: float = -4.0
 
-    def own_scores(self, word: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def own_scores(self, doc: np.ndarray, word: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, scores) of the tokens that do not simply cost drift."""
         score = np.full(len(word), -self.drift)
         for keys, values, h, filled in ((self.stems, self.stem_scores, stem, self.filled[0]), (self.words, self.word_scores, word, self.filled[1])):
@@ -88,7 +88,7 @@ class ToxicityModel:
                 at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
                 hit = keys[at] == h[maybe]
                 score[maybe[hit]] = values[at[hit]]
-        score[1:][word[1:] == word[:-1]] = -self.drift
+        score[1:][(word[1:] == word[:-1]) & (doc[1:] == doc[:-1])] = -self.drift
         at = np.flatnonzero(score != -self.drift)
         return at, score[at]
 
@@ -125,7 +125,7 @@ def _documents(buf: np.ndarray, off: np.ndarray, model: ToxicityModel, own_score
     for i, j in slices(off):
         own = off[i : j + 1] - off[i]
         doc, word, stem, starts, ends = _tokens(buf[off[i] : off[j]], own)
-        at, score = model.own_scores(word, stem)
+        at, score = model.own_scores(doc, word, stem)
         first = np.searchsorted(doc, np.arange(j - i + 1))
         cut = np.searchsorted(at, first)
         for d in range(j - i):

@@ -1,8 +1,13 @@
 import random
+import re
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from quire.llm import language
+from quire.llm import _storage, language
+from quire.llm._arrow import text_bytes
 
 PARTS = {"aa": ["the", "tion", "ing", "wh"], "bb": ["sch", "ung", "keit", "ei"], "cc": ["eau", "oux", "ment", "qu"]}
 
@@ -46,3 +51,52 @@ def test_no_languages_and_empty_tables(spark, make):
     assert some.languages == ["en"]
     assert language.identify_languages(make([]), some, host=F.col("source")).collect() == []
     assert [r.language for r in language.identify_languages(make([(1, "text"), (1, "text")]), some).collect()] == ["en", "en"]
+
+
+def test_against_a_loop_over_rows(spark):
+    rows = [(i, t if i % 9 else t[:4], x, f"h{i % 3}.site{i % 2}.{x[0]}a" if i % 4 else None, x if i % 5 == 0 else None) for i, t, x in sentences(60)]
+    rows += [(100, None, "aa", "h1.site1.aa", "bb"), (101, "", "aa", None, None), (102, "12", "bb", "h1.site1.aa", None), (3, "the tion", "aa", "one", "cc-x"), (None, "sch ei", "bb", "one", "??")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string, declared string")
+    model = language.fit_languages(df)
+    k, smooth = 3, 20.0
+    seen = []
+    for i, t, _, host, declared in rows:
+        average, n = model.averages(*text_bytes(pa.array([t], pa.string())))
+        like = average[0] * min(int(n[0]), model.weight)
+        p = np.exp(like - like.max()) / np.exp(like - like.max()).sum()
+        labels = host.split(".") if host else []
+        levels = {"host": host, "domain": ".".join(labels[-2:]) or None, "suffix": labels[-1] if len(labels) > 1 else None}
+        levels["declared"] = re.match("[a-z]*", declared or "")[0] or None
+        seen.append((i, t, like, p, int(n[0]), levels))
+    total = sum(p for _, _, _, p, n, _ in seen if n)
+    count = sum(1 for x in seen if x[4])
+    everywhere = (total + 1) / (count + k)
+    want = {}
+    for me, (i, t, like, p, n, levels) in enumerate(seen):
+        rest = lambda level, me=me, levels=levels: sum((x[3] for j, x in enumerate(seen) if j != me and x[4] and levels[level] and x[5][level] == levels[level]), np.zeros(k))
+        domain = (rest("domain") + smooth * everywhere) / (rest("domain").sum() + smooth)
+        log = like + np.log((rest("host") + smooth * domain) / (rest("host").sum() + smooth))
+        for level in ("declared", "suffix"):
+            if levels[level] and any(x[4] and x[5][level] == levels[level] for x in seen):
+                log += np.log((rest(level) + smooth * everywhere) / (total + smooth)) - np.log((rest(level).sum() + smooth) / (count + smooth))
+        post = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+        spoken = any(c.isalpha() for c in t or "")
+        want[i, t] = (model.languages[int(post.argmax())] if spoken and post.max() >= 0.5 else None, post.max())
+    found = language.identify_languages(df, model, host=F.col("host"), declared=F.col("declared")).collect()
+    texts = {}
+    for r in rows:
+        texts.setdefault(r[0], []).append(r[1])
+    assert len(found) == len(rows)
+    for r in found:
+        assert any(r.language == want[r.id, t][0] and abs(r.posterior - want[r.id, t][1]) < 1e-6 for t in texts[r.id]), r
+
+
+def test_many_hosts_are_looked_up_by_shuffles(spark, monkeypatch):
+    rows = [(i, t, x, f"h{i if i % 3 else 0}.org" if i % 7 else None) for i, t, x in sentences(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string")
+    model = language.fit_languages(df)
+    want = sorted(map(tuple, language.identify_languages(df, model, host=F.col("host")).collect()))
+    monkeypatch.setattr(_storage.looked_up, "__defaults__", (10,))
+    got = sorted(map(tuple, language.identify_languages(df, model, host=F.col("host")).collect()))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want])
