@@ -56,10 +56,32 @@ def _summary(variant: str):
 
 
 def r_pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reader.view(text_files(spark, sf_dir, "classic_flate"), "glyphs")
-    chars = F.array_sort(F.collect_list(F.struct("page_index", "glyph_idx", "ch")))
-    text = F.array_join(F.transform(chars, lambda r: r.ch), "")
-    return rows.groupBy(F.col("file_id").cast("bigint").alias("doc_id")).agg(F.md5(text.cast("binary")).alias("digest"))
+    """A row a page leaves the parser; a document's pages are joined in order."""
+    rows = reader.page_strings(text_files(spark, sf_dir, "classic_flate"))
+    pages = F.array_sort(F.collect_list(F.struct("page_index", "glyph_text")))
+    text = F.array_join(F.transform(pages, lambda r: r.glyph_text), "")
+    texts = rows.groupBy(F.col("file_id").cast("bigint").alias("doc_id")).agg(text.alias("text")).where("text <> ''")
+    return texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def _damaged(text: str) -> bytes:
+    """A text's file, in which the content of the last page cannot be decoded."""
+    data = bytearray(text_pdf(text, "classic_flate"))
+    doc = Document(bytes(data))
+    last = list(doc.pages())[-1]
+    contents = doc.get(last.dict["Contents"])
+    stream = doc.get(contents[0]) if isinstance(contents, list) else contents
+    data[stream.offset : stream.offset + len(stream.raw)] = b"\xff" * len(stream.raw)
+    return bytes(data)
+
+
+def r_page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose last page is damaged: it has a status and no text, and the other pages keep theirs."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    rows = reader.view(bytes_of(docs, _damaged, "doc_id", "text"), "page_strings")
+    return rows.select(F.col("file_id").cast("bigint").alias("doc_id"), "page_index", F.length("glyph_text").cast("bigint").alias("n"), F.md5("glyph_text").alias("digest"), "status")
 
 
 def r_pdf_find(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +299,7 @@ QUERIES = (
     | {n: _round_trip(f) for n, f in _ROUND_TRIPS.items()}
     | {
         f.__name__: f
-        for f in (r_pdf_text, r_pdf_find, r_pdf_pages, r_files, p_render_ppm, r_content_ops, c_md5, c_sha2, c_aes_roundtrip, k_escape, k_wrap, o_revision_merge, o_free_mask, o_hybrid, o_inherit, o_deref, o_edits)
+        for f in (r_pdf_text, r_page_status, r_pdf_find, r_pdf_pages, r_files, p_render_ppm, r_content_ops, c_md5, c_sha2, c_aes_roundtrip, k_escape, k_wrap, o_revision_merge, o_free_mask, o_hybrid, o_inherit, o_deref, o_edits)
     }
     | {f.__name__: f for f in (f_list_fields, f_set_value, f_hit_test, a_add_delete, a_get_tip, a_highlight, a_arrow)}
 )
@@ -304,6 +326,11 @@ ORACLES = (
         "r_pdf_find": f"""WITH {_PAGES}, m AS (SELECT doc_id, page_index, glyph_idx, translate(ch, 'THE', 'the') = 't' AND translate(lead(ch, 1) OVER w, 'THE', 'the') = 'h' AND translate(lead(ch, 2) OVER w, 'THE', 'the') = 'e' AND lead(ch, 3) OVER w = ' ' AS hit
 FROM g WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY glyph_idx))
 SELECT doc_id, page_index, count(*) AS n, CAST(sum(glyph_idx) AS BIGINT) AS starts FROM m WHERE hit GROUP BY doc_id, page_index""",
+        "r_page_status": f"""WITH p AS (SELECT doc_id, text, CAST(ceil(({_LINES}) / 50.0) AS INTEGER) AS pages FROM documents),
+q AS (SELECT doc_id, pages, string_split(text, chr(10)) AS ls, unnest(generate_series(0, pages - 1)) AS i FROM p),
+r AS (SELECT doc_id, CAST(i AS INTEGER) AS page_index, i = pages - 1 AS bad, array_to_string(list_slice(ls, 50 * i + 1, 50 * i + 50), '') AS t FROM q)
+SELECT doc_id, page_index, CAST(CASE WHEN bad THEN 0 ELSE length(t) END AS BIGINT) AS n, md5(CASE WHEN bad THEN '' ELSE t END) AS digest,
+       CASE WHEN bad THEN 'SYNTAX' ELSE 'OK' END AS status FROM r""",
         "r_pdf_pages": f"SELECT doc_id, CAST(ceil(({_LINES}) / 50.0) AS BIGINT) AS n_pages, 792.0::DOUBLE AS width, 612.0::DOUBLE AS height FROM documents",
         "r_files": f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE CAST(ceil(({_LINES}) / 50.0) AS INTEGER) END AS pages_declared, CASE WHEN doc_id % 3 = 0 THEN 'BADARG' ELSE 'OK' END AS status FROM documents",
         "r_content_ops": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)

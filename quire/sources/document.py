@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from typing import Any, NamedTuple
 
 from .crypt import Crypt
-from .filters import FilterFault, chain, decode
+from .filters import FilterFault, chain, decode, status_of
 from .syntax import Name, Operator, Reader, Ref, Stream, SyntaxFault, is_end
 
 #: A file may name at most so many objects.
@@ -313,15 +313,19 @@ class Document:
             index += 1
 
     def content(self, page: Page) -> bytes:
-        """The page's content streams, decoded and joined; streams that fail are left out."""
+        return self.content_and_status(page)[0]
+
+    def content_and_status(self, page: Page) -> tuple[bytes, str]:
+        """The page's content streams, decoded and joined, and OK; or the status of the last one that fails, which
+        is left out."""
         parts = self.get(page.dict.get("Contents"))
-        out = []
+        out, status = [], "OK"
         for p in parts if isinstance(parts, list) else [parts]:
             try:
                 out.append(self.stream_bytes(p))
-            except FilterFault:
-                continue
-        return b"\n".join(out)
+            except FilterFault as e:
+                status = status_of(e)
+        return b"\n".join(out), status
 
     def inherited(self, node: dict, ref: Ref | None, key: str) -> tuple[Any, Ref | None]:
         """(value, owner) of a field's attribute, its own or that of the nearest of 32 ancestors."""

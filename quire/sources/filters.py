@@ -13,10 +13,15 @@ class FilterFault(ValueError):
     pass
 
 
-#: Decoded streams are cut off beyond this many bytes, as a guard against bombs.
+#: A stream that decodes to more bytes is a fault (status LIMIT), as a guard against bombs.
 LIMIT = 200 << 20
 
 
+def status_of(fault: Exception) -> str:
+    """The status that rows give for a stream that cannot be decoded."""
+    return "UNSUPPORTED" if "unsupported" in str(fault) else "LIMIT" if "limit" in str(fault) else "SYNTAX"
+
+
 def ascii85(data: bytes) -> bytes:
     """Up to ~; z is four zero bytes between groups; other characters out of range are skipped."""
     out, group = bytearray(), []
@@ -43,10 +48,14 @@ def _word85(group: list[int]) -> bytes:
 def flate(data: bytes) -> bytes:
     """Deflate with or without its header; the check sum is not verified."""
     for skip in ((2, 0) if len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0 else (0,)):
+        inflater = zlib.decompressobj(-15)
         try:
-            return zlib.decompressobj(-15).decompress(data[skip:], LIMIT)
+            out = inflater.decompress(data[skip:], LIMIT)
         except zlib.error:
             continue
+        if inflater.unconsumed_tail:
+            raise FilterFault("over the limit")
+        return out
     raise FilterFault("bad deflate data")
 
 

@@ -1,6 +1,7 @@
 """Files as tables: one pass over the bytes of each file gives the rows of the tables asked for.
 
-Bad input gives rows with a status, never a failed task.
+Bad input gives rows with a status, never a failed task. A page whose content cannot be decoded, or is shown
+with a fault, says so in `pages`, `page_strings` or `pictures`; the other pages of the file keep their rows.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +19,10 @@ from pyspark.sql.types import StructType
 from ..operators.annotations import field_row
 from .content import operations, page_glyphs
 from .document import Document, Fault, box, num
-from .filters import FilterFault, chain
+from .filters import FilterFault, chain, status_of
 from .fonts import Font
 from .images import decode_image
-from .render import render_page
+from .render import rendered
 from .syntax import Name, Ref, Stream, SyntaxFault, plain
 
 SCHEMAS = {
@@ -28,10 +30,10 @@ SCHEMAS = {
     "xref": "file_id string, obj_num bigint, gen bigint, kind string, offset bigint, objstm_num bigint, objstm_index bigint, section_rank int",
     "objects": "file_id string, obj_num bigint, gen bigint, type string, value_json string, stream_offset bigint, stream_length bigint, filters array<string>, status string",
     "edges": "file_id string, src_num bigint, key_path string, pos int, dst_num bigint, dst_gen bigint",
-    "pages": "file_id string, page_index int, obj_num bigint, media struct<x0:double,y0:double,x1:double,y1:double>, crop struct<x0:double,y0:double,x1:double,y1:double>, rotate int, width_pt double, height_pt double",
+    "pages": "file_id string, page_index int, obj_num bigint, media struct<x0:double,y0:double,x1:double,y1:double>, crop struct<x0:double,y0:double,x1:double,y1:double>, rotate int, width_pt double, height_pt double, status string",
     "content_ops": "file_id string, page_index int, seq bigint, opname string, args_json string",
     "glyphs": "file_id string, page_index int, glyph_idx int, unicode int, raw_code int, ch string, x0 double, y0 double, advance double, height double, rotation_deg double, render_mode int, is_space boolean",
-    "page_strings": "file_id string, page_index int, glyph_text string",
+    "page_strings": "file_id string, page_index int, glyph_text string, status string",
     "fonts": "file_id string, font_num bigint, base_font string, subtype string, is_cid boolean, is_bold boolean, is_italic boolean, is_serif boolean, embedded string",
     "form_fields": "file_id string, page_index int, field_idx int, type string, name string, value binary, on_state string, read_only boolean, obj_num bigint, obj_gen bigint, x0 double, y0 double, x1 double, y1 double",
     "annotations": "file_id string, page_index int, annot_idx int, subtype string, flags int, x0 double, y0 double, x1 double, y1 double, quadpoints array<double>, contents binary, color array<double>, obj_num bigint",
@@ -81,9 +83,12 @@ def _edges(doc: Document) -> Iterator[tuple]:
             yield n, path, pos, a, b
 
 
+_FAULTS = (Fault, SyntaxFault, FilterFault, RecursionError, ValueError, TypeError, AttributeError, KeyError, IndexError, OverflowError, ZeroDivisionError, EOFError, struct.error)
+
+
 def _pages(doc: Document) -> Iterator[tuple]:
     for p in doc.pages():
-        yield p.index, p.num, vars(p.media), vars(p.crop), p.rotate, *p.size
+        yield p.index, p.num, vars(p.media), vars(p.crop), p.rotate, *p.size, doc.content_and_status(p)[1]
 
 
 def _content(doc: Document) -> Iterator[tuple]:
@@ -92,17 +97,28 @@ def _content(doc: Document) -> Iterator[tuple]:
             yield p.index, i, op, json.dumps([plain(x) for x in args])
 
 
-def _glyphs(doc: Document) -> Iterator[tuple]:
+def _shown(doc: Document) -> Iterator[tuple]:
+    """(page, glyphs, status) of each page; a page that cannot be shown has no glyphs."""
     for p in doc.pages():
-        for i, g in enumerate(page_glyphs(doc, p)):
-            c = g.unicode if 0 <= g.unicode < 0x110000 and not 0xD800 <= g.unicode < 0xE000 else 0xFFFD
-            yield p.index, i, g.unicode, g.code, chr(c), g.x0, g.y0, g.advance, g.height, g.rotation, g.mode, g.unicode == 32
+        try:
+            yield p, page_glyphs(doc, p), doc.content_and_status(p)[1]
+        except _FAULTS as e:
+            yield p, [], status_of(e)
+
+
+def _character(c: int) -> str:
+    return chr(c) if 0 <= c < 0x110000 and not 0xD800 <= c < 0xE000 else "\ufffd"
+
+
+def _glyphs(doc: Document) -> Iterator[tuple]:
+    for p, shown, _ in _shown(doc):
+        for i, g in enumerate(shown):
+            yield p.index, i, g.unicode, g.code, _character(g.unicode), g.x0, g.y0, g.advance, g.height, g.rotation, g.mode, g.unicode == 32
 
 
 def _strings(doc: Document) -> Iterator[tuple]:
-    for p in doc.pages():
-        codes = (g.unicode for g in page_glyphs(doc, p))
-        yield p.index, "".join(chr(c) if 0 <= c < 0x110000 and not 0xD800 <= c < 0xE000 else "\ufffd" for c in codes)
+    for p, shown, status in _shown(doc):
+        yield p.index, "".join(_character(g.unicode) for g in shown), status
 
 
 def _fonts(doc: Document) -> Iterator[tuple]:
@@ -153,7 +169,7 @@ def _images(doc: Document) -> Iterator[tuple]:
             width, height, colours, opacity = decode_image(doc, v)
             rgb, alpha = colours.tobytes(), opacity.tobytes() if opacity is not None else None
         except FilterFault as e:
-            status = "UNSUPPORTED" if "unsupported" in str(e) else "SYNTAX"
+            status = status_of(e)
         except (ValueError, IndexError, KeyError, TypeError, EOFError, struct.error):
             status = "SYNTAX"
         yield n, width, height, int(num(doc.get(d.get("BitsPerComponent")), 1)), str(space or ""), names, rgb, alpha, status
@@ -162,8 +178,8 @@ def _images(doc: Document) -> Iterator[tuple]:
 def _pictures(doc: Document) -> Iterator[tuple]:
     for p in doc.pages():
         try:
-            bitmap = render_page(doc, p)
-            yield p.index, bitmap.rgb.shape[1], bitmap.rgb.shape[0], bitmap.ppm(), "OK"
+            bitmap, status = rendered(doc, p)
+            yield p.index, bitmap.rgb.shape[1], bitmap.rgb.shape[0], bitmap.ppm(), status
         except (FilterFault, ValueError, IndexError, KeyError, TypeError, ZeroDivisionError, OverflowError):
             yield p.index, 0, 0, None, "SYNTAX"
 
@@ -184,15 +200,19 @@ _TABLES: dict[str, Callable[[Document], Iterator[tuple]]] = {
 }
 
 
-def rows_of(name: str, file_id: str, data: bytes) -> list[tuple]:
-    """The rows of a table for one file; a file that cannot be opened has rows only in `files`."""
+def each_row(name: str, file_id: str, data: bytes) -> Iterator[tuple]:
+    """The rows of a table for one file, one by one; a file that cannot be opened has rows only in `files`."""
     try:
         doc = Document(data)
-        made = _files(doc, len(data)) if name == "files" else _TABLES[name](doc)
-        return [(file_id, *r) for r in made]
-    except (Fault, SyntaxFault, FilterFault, RecursionError, ValueError, TypeError, AttributeError, KeyError, IndexError, OverflowError) as e:
-        status = str(e) if isinstance(e, Fault) else "SYNTAX"
-        return [(file_id, len(data), 0, 0, False, None, status)] if name == "files" else []
+        for r in _files(doc, len(data)) if name == "files" else _TABLES[name](doc):
+            yield (file_id, *r)
+    except _FAULTS as e:
+        if name == "files":
+            yield file_id, len(data), 0, 0, False, None, str(e) if isinstance(e, Fault) else "SYNTAX"
+
+
+def rows_of(name: str, file_id: str, data: bytes) -> list[tuple]:
+    return list(each_row(name, file_id, data))
 
 
 def view(files: DataFrame, name: str, file_col: str = "path", content_col: str = "content") -> DataFrame:
@@ -207,9 +227,8 @@ def view(files: DataFrame, name: str, file_col: str = "path", content_col: str =
             arrow.append(to_arrow_schema(shape))
         for batch in batches:
             for file_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = rows_of(name, file_id, bytes(data or b""))
-                for at in range(0, len(rows), 10_000):
-                    part = rows[at : at + 10_000]
+                rows = each_row(name, file_id, bytes(data or b""))
+                while part := list(islice(rows, 10_000)):
                     columns = [pa.array([r[i] for r in part], f.type) for i, f in enumerate(arrow[0])]
                     yield pa.RecordBatch.from_arrays(columns, schema=arrow[0])
 
@@ -220,7 +239,7 @@ def view(files: DataFrame, name: str, file_col: str = "path", content_col: str =
 
 def page_strings(files: DataFrame) -> DataFrame:
     """(file_id, page_index, glyph_text): each page's glyphs as one string, for searches that need no boxes."""
-    return view(files, "page_strings")
+    return view(files, "page_strings").drop("status")
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from . import raster
 from .content import _HANDLERS, MAX_FORMS, Glyph, Interpreter, Matrix, State, operations, times
 from .document import Document, Page, num
-from .filters import FilterFault
+from .filters import FilterFault, status_of
 from .images import decode_image, space_of, to_rgb
 from .syntax import Stream
 
@@ -158,6 +158,7 @@ class Painter(Interpreter):
     at: tuple = (0.0, 0.0)
     clipping: str = ""
     bitmap: raster.Bitmap | None = None
+    status: str = "OK"
 
     def __post_init__(self) -> None:
         w, h = self.page.size
@@ -296,7 +297,8 @@ class Painter(Interpreter):
     def image(self, v: Stream) -> None:
         try:
             w, h, rgb, alpha = decode_image(self.doc, v)
-        except (FilterFault, ValueError, IndexError, KeyError):
+        except (FilterFault, ValueError, IndexError, KeyError) as e:
+            self.status = status_of(e)
             return
         s = self.state
         ox, oy = self.pixel(0, 0)
@@ -430,12 +432,18 @@ _PAINT: dict[str, Callable] = {
 
 def render_page(doc: Document, page: Page, scale: float = 1.0) -> raster.Bitmap:
     """A page on white, with its visible annotations' appearances over it."""
+    return rendered(doc, page, scale)[0]
+
+
+def rendered(doc: Document, page: Page, scale: float = 1.0) -> tuple[raster.Bitmap, str]:
+    """render_page's bitmap, and OK; or the status of a content stream or an image that it lacks."""
     p = Painter(doc, page, scale=scale)
-    p.run(doc.content(page), page.resources)
+    data, status = doc.content_and_status(page)
+    p.run(data, page.resources)
     rows = doc.get(page.dict.get("Annots"))
     for ref in rows if isinstance(rows, list) else []:
         _annotation(p, doc.get(ref))
-    return p.bitmap
+    return p.bitmap, status if status != "OK" else p.status
 
 
 def _annotation(p: Painter, a: Any) -> None:

@@ -222,3 +222,21 @@ def test_files_as_views(spark, tmp_path):
     reader.register_views(reader.read_files(spark, str(tmp_path)), ["glyphs", "pages"], "v_")
     row = spark.sql("SELECT count(*) AS n, max(width_pt) AS w FROM v_glyphs JOIN v_pages USING (file_id, page_index)").first()
     assert (row.n, row.w) == (17, 612.0)
+
+
+def test_a_damaged_page_has_a_status_and_the_others_their_rows(spark, monkeypatch):
+    text = "\n".join(f"line {i} of it" for i in range(130))
+    data = bytearray(text_pdf(text, "classic_flate"))
+    doc = Document(bytes(data))
+    stream = doc.get(list(doc.pages())[1].dict["Contents"])
+    data[stream.offset : stream.offset + len(stream.raw)] = b"\xff" * len(stream.raw)
+    df = spark.createDataFrame([("a", bytes(data)), ("b", text_pdf(text, "classic_flate"))], "path string, content binary")
+    for name in ("pages", "page_strings", "pictures"):
+        got = {(r.file_id, r.page_index): r.status for r in reader.view(df, name).collect()}
+        assert got == {(f, i): "SYNTAX" if (f, i) == ("a", 1) else "OK" for f in "ab" for i in range(3)}
+    texts = {(r.file_id, r.page_index): r.glyph_text for r in reader.view(df, "page_strings").collect()}
+    assert texts["a", 1] == "" and all(texts["a", i] == texts["b", i] != "" for i in (0, 2))
+    assert {r.page_index for r in reader.view(df, "glyphs").where("file_id = 'a'").select("page_index").distinct().collect()} == {0, 2}
+    monkeypatch.setattr(filters, "LIMIT", 100)
+    assert [r[-1] for r in reader.rows_of("pages", "a", bytes(data))] == ["LIMIT", "SYNTAX", "LIMIT"]
+    assert filters.flate(zlib.compress(b"x" * 100)) == b"x" * 100
