@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,30 +21,47 @@ def fold_needle(needle: str, case_sensitive: bool, limit: int = 256) -> str:
     return needle if case_sensitive else needle.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
 
 
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once a row, however often it is used and wherever the optimizer puts it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def running_sums(values: Column) -> Column:
+    """0 and the sums of the first one, two, ... of an array of integers.
+
+    Arrays grow by copies, so long ones are summed in blocks of about the square root of their size.
+    """
+
+    def scan(xs: Column) -> Column:
+        return F.aggregate(xs, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def blocks(xs: Column) -> Column:
+        size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        cut = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / size).cast("int")), lambda j: scan(F.slice(xs, j * size + 1, size)))
+        return bind(cut, joined)
+
+    def joined(sums: Column) -> Column:
+        lifted = lambda before: F.transform(sums, lambda x, j: F.transform(F.slice(x, F.lit(2), F.size(x) - 1), lambda y: y + F.get(before, j)))
+        return bind(scan(F.transform(sums, lambda x: F.element_at(x, -1))), lambda before: F.concat(F.array(F.lit(0)), F.flatten(lifted(before))))
+
+    return bind(values, lambda xs: F.when(F.size(xs) <= 64, scan(xs)).otherwise(blocks(xs)))
+
+
 def match_starts(text: Column, needle: str, case_sensitive: bool = True) -> Column:
     """0-based starts of all matches in a text, overlapping ones too; an empty needle has none.
 
-    The text is taken apart once and compared from every position; a position fails at the first
-    character that differs.
+    The text is cut before each match, so that the pieces' lengths add up to the starts.
     """
     needle = fold_needle(needle, case_sensitive)
     text = text if case_sensitive else ascii_fold(text)
+    none = F.array().cast("array<int>")
     if not needle:
-        return F.array().cast("array<int>")
-    places = F.sequence(F.lit(0), F.greatest(F.length(text) - len(needle), F.lit(0)))
-
-    def at(chars: Column):
-        def same(i: Column) -> Column:
-            out = F.get(chars, i) == F.lit(needle[0])
-            for k, c in enumerate(needle[1:], 1):
-                out = out & (F.get(chars, i + k) == F.lit(c))
-            return F.coalesce(out, F.lit(False))
-
-        return same
-
-    # the array of characters is bound to a variable, so it is made once for each text
-    bound = F.transform(F.array(F.split(text, "")), lambda chars: F.filter(places, at(chars)))
-    return F.when(F.contains(text, F.lit(needle)), bound[0]).otherwise(F.array().cast("array<int>"))
+        return none
+    lengths = F.transform(F.split(text, f"(?={re.escape(needle)})"), lambda piece: F.length(piece))
+    sums = bind(running_sums(lengths), lambda at: F.slice(at, F.lit(1), F.size(at) - 1))
+    # the first piece is before the first match, unless the text starts with one
+    starts = bind(sums, lambda at: F.when(F.startswith(text, F.lit(needle)), at).otherwise(F.slice(at, F.lit(2), F.size(at))))
+    return F.when(F.contains(text, F.lit(needle)), starts).otherwise(none)
 
 
 def escape_literal(text: Column) -> Column:

@@ -6,62 +6,156 @@ height, in a space with y down. Lines are runs of consecutive glyphs with exactl
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import match_starts
+from ..functions.text import ascii_fold, bind, fold_needle, match_starts, running_sums
 
 #: Shares of a glyph's height above and below the baseline.
 ASCENT, DESCENT = 0.80, 0.20
 
 
-def layout(docs: DataFrame, key: str = "doc_id", text: str = "text", left: float = 72, top: float = 84, advance: float = 6, leading: float = 12, height: float = 10) -> DataFrame:
+def layout(docs: DataFrame, key: str = "doc_id", text: str = "text", shape: Layout | None = None) -> DataFrame:
     """Glyphs of plain texts in a fixed-pitch layout; line feeds move down and are no glyphs."""
-    rows = docs.select(key, F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
-    starts = _line_starts(F.col("lines"))
-    rows = rows.select(key, F.posexplode(F.arrays_zip(F.col("lines").alias("line"), F.slice(starts, F.lit(1), F.size("lines")).alias("start"))).alias("ln", "z"))
+    shape = shape or Layout()
+    zipped = bind(shape.page(text), lambda p: F.arrays_zip(p.lines.alias("line"), F.slice(p.starts, F.lit(1), F.size(p.lines)).alias("start")))
+    rows = docs.select(key, F.posexplode(zipped).alias("ln", "z"))
     rows = rows.where(F.length("z.line") > 0).select(key, "ln", F.col("z.start").alias("start"), F.posexplode(F.split("z.line", "")).alias("col", "ch"))
     return rows.select(
         key,
         (F.col("start") + F.col("col")).alias("glyph_idx"),
         "ch",
-        (left + advance * F.col("col")).cast("double").alias("x0"),
-        (top + leading * F.col("ln")).cast("double").alias("y0"),
-        F.lit(float(advance)).alias("advance"),
-        F.lit(float(height)).alias("height"),
+        shape.x(F.col("col")).alias("x0"),
+        shape.y(F.col("ln")).alias("y0"),
+        F.lit(float(shape.advance)).alias("advance"),
+        F.lit(float(shape.height)).alias("height"),
     )
 
 
-def _line_starts(lines: Column) -> Column:
-    """The glyph index at which each line starts, and after the last one the number of glyphs."""
-    sizes = F.transform(lines, lambda x: F.length(x))
-    return F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+@dataclass(frozen=True)
+class Layout:
+    """A fixed-pitch layout, as layout() makes it, held as the lines of each text.
 
+    The places of glyphs follow from the lines, so the queries below make no glyph rows, shuffle nothing and take
+    time in proportion to the text. They give the rows that the functions of the same names, further down, give for
+    glyph rows. Null and empty texts, and empty lines, have no glyphs and no rows; repeated rows give repeated rows.
+    """
 
-def find_in_layout(
-    docs: DataFrame, needle: str, case_sensitive: bool = True, key: str = "doc_id", text: str = "text", left: float = 72, top: float = 84, advance: float = 6, leading: float = 12, height: float = 10
-) -> DataFrame:
-    """Matches with boxes (key, start_idx, end_idx, x0, y0, x1, y1) in texts laid out as by layout.
+    left: float = 72
+    top: float = 84
+    advance: float = 6
+    leading: float = 12
+    height: float = 10
 
-    The places of a match's glyphs follow from the starts of the lines, so no glyph rows are made, and
-    neither matches nor texts are shuffled.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(key, _line_starts(F.split(body, "\n")).alias("starts"), match_starts(F.replace(body, F.lit("\n"), F.lit("")), needle, case_sensitive).alias("found"))
-    rows = rows.select(key, "starts", F.explode("found").alias("start_idx")).withColumn("end_idx", F.col("start_idx") + (len(needle[:256]) - 1))
-    # the last line that starts at or before a glyph and is not empty is the one that holds it
-    rows = rows.withColumn("ln", F.transform(F.sequence("start_idx", "end_idx"), lambda i: F.size(F.filter("starts", lambda s: s <= i)) - 1))
-    rows = rows.withColumn("col", F.transform("ln", lambda n, k: F.col("start_idx") + k - F.col("starts")[n]))
-    return rows.select(
-        key,
-        "start_idx",
-        "end_idx",
-        (left + advance * F.array_min("col")).cast("double").alias("x0"),
-        ((top + leading * F.array_min("ln")).cast("double") - height * ASCENT).alias("y0"),
-        (left + advance * (F.array_max("col") + 1)).cast("double").alias("x1"),
-        ((top + leading * F.array_max("ln")).cast("double") + height * DESCENT).alias("y1"),
-    )
+    def page(self, text: str = "text") -> Column:
+        """(lines, starts): starts has the index of the first glyph of each line, and after the last the number of glyphs."""
+        lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+        return bind(lines, lambda x: F.struct(x.alias("lines"), running_sums(F.transform(x, lambda line: F.length(line))).alias("starts")))
+
+    def x(self, col: Column) -> Column:
+        return (self.left + self.advance * col).cast("double")
+
+    def y(self, ln: Column) -> Column:
+        return (self.top + self.leading * ln).cast("double")
+
+    def _nearest(self, page: Column, x: float, y: float) -> Column:
+        """The index of the nearest glyph; of a line, only the two around x can be it."""
+        at = math.floor((x - self.left) / self.advance - 0.5)
+
+        def best(line: Column, k: Column) -> Column:
+            def candidate(col: int) -> Column:
+                held = F.least(F.lit(max(col, 0)), F.length(line) - 1)
+                score = F.abs(self.y(k) - y) * 1e6 + F.abs(self.x(held) + self.advance * 0.5 - x)
+                return F.struct(score.alias("s"), (F.get(page.starts, k) + held).alias("i"))
+
+            return F.when(line != "", F.array_min(F.array(candidate(at), candidate(at + 1))))
+
+        return F.array_min(F.transform(page.lines, best))["i"]
+
+    def _rect(self, page: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
+        """(ln, a, b): the lines that touch a rectangle, and their first and last columns that do."""
+        x0, x1, y0, y1 = min(x0, x1), max(x0, x1), min(y0, y1), max(y0, y1)
+        # the first column whose right edge is at x0 or beyond it, the last whose left edge is at x1 or before it
+        low, high = max(math.ceil((x0 - self.left) / self.advance - 1), 0), math.floor((x1 - self.left) / self.advance)
+        pieces = F.transform(page.lines, lambda line, k: F.struct(k.alias("ln"), F.lit(low).alias("a"), F.least(F.length(line) - 1, F.lit(high)).alias("b")))
+        touches = lambda k: (self.y(k) + self.height * DESCENT >= y0) & (self.y(k) - self.height * ASCENT <= y1)
+        return F.filter(pieces, lambda r: touches(r.ln) & (r.a <= r.b))
+
+    def _between(self, page: Column, i: Column, j: Column) -> Column:
+        """(ln, a, b): the lines from glyph i to glyph j, or from j to i, and the columns held."""
+
+        def piece(line: Column, k: Column) -> Column:
+            start = F.get(page.starts, k)
+            low, high = F.greatest(F.least(i, j) - start, F.lit(0)), F.least(F.greatest(i, j) - start, F.length(line) - 1)
+            return F.struct(k.alias("ln"), low.alias("a"), high.alias("b"))
+
+        return F.filter(F.transform(page.lines, piece), lambda r: r.a <= r.b)
+
+    def _ranges(self, page: Column, pieces: Column) -> Column:
+        """(lo, hi, x0, y0, x1, y1) of each piece of a page."""
+
+        def one(r: Column) -> Column:
+            start = F.get(page.starts, r.ln)
+            across = [self.x(r.a).alias("x0"), (self.y(r.ln) - self.height * ASCENT).alias("y0"), (self.x(r.b) + self.advance).alias("x1"), (self.y(r.ln) + self.height * DESCENT).alias("y1")]
+            return F.struct((start + r.a).alias("lo"), (start + r.b).alias("hi"), *across)
+
+        return F.transform(pieces, one)
+
+    def nearest(self, docs: DataFrame, x: float, y: float, key: str = "doc_id", text: str = "text", name: str = "glyph_idx") -> DataFrame:
+        filled = docs.where(F.replace(F.col(text), F.lit("\n"), F.lit("")) != "")
+        return filled.select(key, bind(self.page(text), lambda p: self._nearest(p, x, y)).alias(name))
+
+    def in_rect(self, docs: DataFrame, x0: float, y0: float, x1: float, y1: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+        return docs.select(key, F.inline(bind(self.page(text), lambda p: self._ranges(p, self._rect(p, x0, y0, x1, y1)))))
+
+    def between_points(self, docs: DataFrame, a: tuple[float, float], b: tuple[float, float], key: str = "doc_id", text: str = "text") -> DataFrame:
+        def rows(page: Column) -> Column:
+            ends = F.struct(self._nearest(page, *a).alias("i"), self._nearest(page, *b).alias("j"))
+            return bind(ends, lambda e: self._ranges(page, self._between(page, e.i, e.j)))
+
+        return docs.select(key, F.inline(bind(self.page(text), rows)))
+
+    def text_in_rect(self, docs: DataFrame, x0: float, y0: float, x1: float, y1: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """(key, selected): the text of in_rect's ranges, as by get_text."""
+
+        def selected(page: Column) -> Column:
+            parts = F.transform(self._rect(page, x0, y0, x1, y1), lambda r: F.substring(F.get(page.lines, r.ln), r.a + 1, r.b - r.a + 1))
+            return F.when(F.size(parts) > 0, F.array_join(parts, "\n"))
+
+        return docs.select(key, bind(self.page(text), selected).alias("selected")).where("selected is not null")
+
+    def find(self, docs: DataFrame, needle: str, case_sensitive: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """Matches with boxes (key, start_idx, end_idx, x0, y0, x1, y1)."""
+        size = len(needle[:256])
+
+        def boxes(page: Column) -> Column:
+            line_of = F.flatten(F.transform(page.lines, lambda line, k: F.array_repeat(k, F.length(line))))
+            found = match_starts(F.array_join(page.lines, ""), needle, case_sensitive)
+            return bind(line_of, lambda of: F.transform(found, lambda i: one(page, of, i)))
+
+        def one(page: Column, of: Column, i: Column) -> Column:
+            held = F.transform(F.sequence(i, i + (size - 1)), lambda g: F.struct(F.get(of, g).alias("ln"), (g - F.get(page.starts, F.get(of, g))).alias("col")))
+            return bind(held, lambda h: box_of(i, F.transform(h, lambda c: c.ln), F.transform(h, lambda c: c.col)))
+
+        def box_of(i: Column, ln: Column, col: Column) -> Column:
+            return F.struct(
+                i.alias("start_idx"),
+                (i + (size - 1)).alias("end_idx"),
+                self.x(F.array_min(col)).alias("x0"),
+                (self.y(F.array_min(ln)) - self.height * ASCENT).alias("y0"),
+                (self.x(F.array_max(col)) + self.advance).alias("x1"),
+                (self.y(F.array_max(ln)) + self.height * DESCENT).alias("y1"),
+            )
+
+        # texts without a match are told by a search of bytes, before any array is made
+        body = F.replace(F.col(text), F.lit("\n"), F.lit(""))
+        wanted = F.contains(body if case_sensitive else ascii_fold(body), F.lit(fold_needle(needle, case_sensitive)))
+        return docs.where(wanted).select(key, F.inline(bind(self.page(text), boxes)))
 
 
 def page_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -44,7 +44,7 @@ def _match_cte(needle: str, case_sensitive: bool = True, source: str = "g", by:
 
 
 def t_find_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.find_in_layout(_documents(spark, sf_dir), "ation", False)
+    return G.Layout().find(_documents(spark, sf_dir), "ation", False)
 
 
 def t_find_glyph_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,19 +54,38 @@ def t_find_glyph_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.nearest(_glyphs(spark, sf_dir), KEYS, 200.0, 301.0)
+    return G.Layout().nearest(_documents(spark, sf_dir), 200.0, 301.0)
 
 
 def t_rect_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.in_rect(_glyphs(spark, sf_dir), KEYS, 300.0, 80.0, 100.0, 200.0)
+    return G.Layout().in_rect(_documents(spark, sf_dir), 300.0, 80.0, 100.0, 200.0)
 
 
 def t_between_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.between_points(_glyphs(spark, sf_dir), KEYS, (94.36, 92.0), (200.0, 150.0))
+    return G.Layout().between_points(_documents(spark, sf_dir), (94.36, 92.0), (200.0, 150.0))
 
 
 def t_get_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = t_rect_ranges(spark, sf_dir).select("doc_id", "lo", "hi")
+    return G.Layout().text_in_rect(_documents(spark, sf_dir), 300.0, 80.0, 100.0, 200.0)
+
+
+# the same by way of glyph rows, as for glyphs of any layout
+
+
+def t_nearest_glyph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.nearest(_glyphs(spark, sf_dir), KEYS, 200.0, 301.0)
+
+
+def t_rect_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.in_rect(_glyphs(spark, sf_dir), KEYS, 300.0, 80.0, 100.0, 200.0)
+
+
+def t_between_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.between_points(_glyphs(spark, sf_dir), KEYS, (94.36, 92.0), (200.0, 150.0))
+
+
+def t_get_glyph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = t_rect_glyphs(spark, sf_dir).select("doc_id", "lo", "hi")
     return G.get_text(G.page_text(_documents(spark, sf_dir)), ranges, KEYS)
 
 
@@ -77,8 +96,10 @@ def t_glyph_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t_invisible_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spaces are glyphs too: how many, and the last one's place."""
-    rows = _glyphs(spark, sf_dir)
-    return rows.groupBy("doc_id").agg(F.count_if(F.col("ch") == " ").alias("n_spaces"), F.max(F.when(F.col("ch") == " ", F.col("glyph_idx"))).alias("last_space"))
+    text = F.col("glyph_text")
+    n = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    last = F.when(n > 0, F.length(text) - F.instr(F.reverse(text), " "))
+    return G.page_text(_documents(spark, sf_dir)).where("glyph_text <> ''").select("doc_id", n.cast("bigint").alias("n_spaces"), last.alias("last_space"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +138,10 @@ QUERIES = {
     "t_rect_ranges": t_rect_ranges,
     "t_between_points": t_between_points,
     "t_get_text": t_get_text,
+    "t_nearest_glyph": t_nearest_glyph,
+    "t_rect_glyphs": t_rect_glyphs,
+    "t_between_glyphs": t_between_glyphs,
+    "t_get_glyph_text": t_get_glyph_text,
     "t_glyph_count": t_glyph_count,
     "t_invisible_spaces": t_invisible_spaces,
     "t_multi_page_select": t_multi_page_select,
@@ -175,3 +200,4 @@ SELECT conv_id, string_agg(t, chr(10) ORDER BY turn) AS selected FROM h GROUP BY
 t AS (SELECT conv_id, turn, sum(h) OVER (PARTITION BY conv_id ORDER BY turn) - h AS top FROM p)
 SELECT conv_id, coalesce(max(turn) FILTER (top <= 260), min(turn)) AS page FROM t GROUP BY conv_id""",
 }
+ORACLES |= {of: ORACLES[name] for of, name in (("t_nearest_glyph", "t_nearest"), ("t_rect_glyphs", "t_rect_ranges"), ("t_between_glyphs", "t_between_points"), ("t_get_glyph_text", "t_get_text"))}

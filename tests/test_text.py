@@ -2,7 +2,7 @@
 
 import pytest
 
-from quire.functions.text import fold_needle, match_starts
+from quire.functions.text import fold_needle, match_starts, running_sums
 from quire.operators import glyphs as G
 from quire.sources.content import page_glyphs
 from quire.sources.document import Document
@@ -74,6 +74,31 @@ def test_nearest_takes_the_first_of_ties(spark):
     assert G.nearest(rows, ["doc_id"], 13.0, 20.0).first().glyph_idx == 1
 
 
+EDGES = [(1, None), (2, ""), (3, "\n\n"), (4, "\nab\n\nabab\n"), (5, "x\U0001f600a.b\na.b(" * 90), (5, "x\U0001f600a.b\na.b(" * 90), (None, "lone"), (7, "\n" * 5000 + "end\n" * 5000)]
+
+
+def test_layouts_of_lines_and_of_glyphs_agree(spark):
+    docs = spark.createDataFrame(EDGES, "doc_id int, text string").withColumn("lines", F.lit(1)).withColumn("starts", F.lit(2))
+    own = docs.where("doc_id is not null").distinct()  # glyph rows tell pages by their key alone
+    rows, shape = G.layout(own), G.Layout()
+    same = lambda a, b: sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect()))
+    assert same(shape.nearest(own, 81.0, 97.0), G.nearest(rows, ["doc_id"], 81.0, 97.0))
+    for rect in ((75.0, 80.0, 90.0, 200.0), (0.0, 0.0, 10.0, 1e6), (78.0, 78.0, 84.0, 1e6)):
+        assert same(shape.in_rect(own, *rect), G.in_rect(rows, ["doc_id"], *rect))
+        assert same(shape.text_in_rect(own, *rect), G.get_text(G.page_text(own), G.in_rect(rows, ["doc_id"], *rect), ["doc_id"]))
+    assert same(shape.between_points(own, (81.0, 97.0), (0.0, 300.0)), G.between_points(rows, ["doc_id"], (81.0, 97.0), (0.0, 300.0)))
+    for needle in ("a.b", "ba", "b(", "END", "\U0001f600"):
+        assert same(shape.find(own, needle, False), G.boxes(G.find(G.page_text(own), ["doc_id"], needle, False), rows, ["doc_id"]))
+    assert shape.find(docs, "lone").first().start_idx == 0 and shape.find(docs, "(x").count() == 2 * 89
+    assert [shape.nearest(docs, 0.0, 0.0).where(c).count() for c in ("doc_id is null", "doc_id = 5", "doc_id < 4")] == [1, 2, 0]
+
+
+def test_running_sums(spark):
+    sizes = (0, 1, 63, 64, 65, 128, 129, 5000)
+    df = spark.createDataFrame([(list(range(n)),) for n in sizes], "v array<int>")
+    assert [r[0] for r in df.select(running_sums(F.col("v"))).collect()] == [[sum(range(k)) for k in range(n + 1)] for n in sizes]
+
+
 def test_positioned_text_operators():
     b = Builder()
     content = b'q 2 0 0 2 0 0 cm BT /F 10 Tf 5 Tc 3 Tw 50 Tz 10 TL 10 100 Td [(A) -500 (B)] TJ T* (c d) Tj 1 2 (e) " ET Q BT 7 Ts 3 Tr 1 0 0 1 5 5 Tm (z) Tj ET /X Do'
