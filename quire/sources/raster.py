@@ -88,7 +88,38 @@ def _hard(chooser, b, s):
     return np.where(chooser <= 0.5, 2 * b * s, 1 - 2 * (1 - b) * (1 - s))
 
 
-#: Separable blend modes of arrays of components.
+def _hsl(v):
+    """Hue (0 to 1), saturation and lightness of colours along the last axis, kept as planes with one component."""
+    r, g, b = (v[..., i : i + 1] for i in range(3))
+    high, low = v.max(-1, keepdims=True), v.min(-1, keepdims=True)
+    d, light = high - low, (high + low) / 2
+    flat = d == 0
+    d = np.where(flat, 1, d)
+    hue = np.where(high == r, (g - b) / d + np.where(g < b, 6, 0), np.where(high == g, (b - r) / d + 2, (r - g) / d + 4)) / 6
+    span = 1 - np.abs(2 * light - 1)
+    return np.where(flat, 0, hue), np.where(flat, 0, d / np.where(flat, 1, span)), light
+
+
+def _from_hsl(hue, sat, light):
+    q = np.where(light < 0.5, light * (1 + sat), light + sat - light * sat)
+    p = 2 * light - q
+    t = (hue + np.array([1 / 3, 0, -1 / 3])) % 1
+    rise = np.where(t < 1 / 6, p + (q - p) * 6 * t, np.where(t < 1 / 2, q, np.where(t < 2 / 3, p + (q - p) * (2 / 3 - t) * 6, p)))
+    return np.where(sat == 0, light, rise)
+
+
+#: Shares of red, green and blue in a luminance.
+LUMINANCE = np.array([0.30, 0.59, 0.11])
+
+
+def _saturated(b, s):
+    """The backdrop's range of components scaled to the source's saturation, at the backdrop's luminance."""
+    low, d = b.min(-1, keepdims=True), np.ptp(b, -1, keepdims=True)
+    scaled = np.where(d <= 0, 0, np.clip((b - low) * _hsl(s)[1] / np.where(d <= 0, 1, d), 0, 1))
+    return np.clip(scaled + ((b - scaled) @ LUMINANCE)[..., None], 0, 1)
+
+
+#: Blend modes of arrays of colours, backdrop and source: the separable ones, then those by hue, saturation and lightness.
 MODES = {
     "Multiply": lambda b, s: b * s,
     "Screen": lambda b, s: b + s - b * s,
@@ -101,15 +132,34 @@ MODES = {
     "SoftLight": _soft,
     "Difference": lambda b, s: np.abs(b - s),
     "Exclusion": lambda b, s: b + s - 2 * b * s,
+    "Hue": lambda b, s: _from_hsl(_hsl(s)[0], *_hsl(b)[1:]),
+    "Saturation": _saturated,
+    "Color": lambda b, s: _from_hsl(*_hsl(s)[:2], _hsl(b)[2]),
+    "Luminosity": lambda b, s: _from_hsl(*_hsl(b)[:2], _hsl(s)[2]),
 }
 
 
+def box_means(plane: np.ndarray, rows: np.ndarray, cols: np.ndarray, high: int, wide: int) -> np.ndarray:
+    """Means, rounded down, of boxes of a plane of bytes around places; what lies outside the plane does not count.
+
+    Sums wrap at 32 bits, and so do their differences, which are those of a box and fit."""
+    total = np.zeros((plane.shape[0] + 1, plane.shape[1] + 1), np.uint32)
+    np.cumsum(plane, 0, np.uint32, out=total[1:, 1:])
+    np.cumsum(total[1:, 1:], 1, out=total[1:, 1:])
+    top, left = np.maximum(rows - high // 2, 0), np.maximum(cols - wide // 2, 0)
+    end, right = np.minimum(rows - high // 2 + high, plane.shape[0]), np.minimum(cols - wide // 2 + wide, plane.shape[1])
+    sums = total[end, right] - total[top, right] - total[end, left] + total[top, left]
+    return sums // ((end - top) * (right - left))
+
+
 @dataclass
 class Bitmap:
-    """RGB and alpha from 0 to 1, quantised to bytes after each paint."""
+    """RGB and alpha from 0 to 1, quantised to bytes after each paint. touched: for a knockout group, where it has
+    been painted; what is painted there again replaces what was."""
 
     rgb: np.ndarray
     alpha: np.ndarray
+    touched: np.ndarray | None = None
 
     @classmethod
     def blank(cls, width: int, height: int, opaque: bool = True) -> Bitmap:
@@ -122,13 +172,17 @@ class Bitmap:
             return
         part = (slice(rows[0], rows[-1] + 1), slice(cols[0], cols[-1] + 1))
         a, back, under = cover[part][..., None], self.rgb[part], self.alpha[part][..., None]
+        live = a > 0
+        if self.touched is not None:
+            again = self.touched[part][..., None] & live
+            back, under = np.where(again, 0, back), np.where(again, 0, under)
+            self.touched[part] |= live[..., 0]
         colour = np.asarray(colour, float)
         source = np.broadcast_to(colour[part] if colour.ndim == 3 else colour, back.shape)
         mixed = MODES[mode](back, source) if mode in MODES else source
         out = a + under * (1 - a)
         with np.errstate(invalid="ignore", divide="ignore"):
             new = (mixed * a * under + source * a * (1 - under) + back * under * (1 - a)) / out
-        live = a > 0
         quantise = lambda v: np.floor(np.clip(v, 0, 1) * 255 + 0.5) / 255
         self.rgb[part] = np.where(live, quantise(new), back)
         self.alpha[part] = np.where(live, quantise(out), under)[..., 0]

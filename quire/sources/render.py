@@ -20,6 +20,10 @@ from .images import decode_image, space_of, to_rgb
 from .syntax import Stream
 
 
+#: The widest box of samples, in samples along a side, that is averaged for a pixel of a reduced image.
+BOX = 32
+
+
 @dataclass
 class Paint(State):
     fill: tuple = (0.0, 0.0, 0.0)
@@ -29,6 +33,7 @@ class Paint(State):
     stroke_alpha: float = 1.0
     mode_name: str = "Normal"
     clip: np.ndarray | None = None
+    soft: np.ndarray | None = None
     pattern: Any = None
     fill_pattern: bool = False
 
@@ -178,7 +183,9 @@ class Painter(Interpreter):
                 handler(self, args, resources, depth)
 
     def cover(self, mask: np.ndarray, alpha: float) -> np.ndarray:
-        return mask * alpha if self.state.clip is None else mask * self.state.clip * alpha
+        for part in (self.state.clip, self.state.soft):
+            mask = mask if part is None else mask * part
+        return mask * alpha
 
     def show(self, raw: Any) -> None:
         before, s = len(self.glyphs), self.state
@@ -266,6 +273,10 @@ class Painter(Interpreter):
         if self.doc.get(v.dict.get("Subtype")) == "Image":
             self.image(v)
             return
+        self.draw(v, resources, depth)
+
+    def draw(self, v: Stream, resources: dict, depth: int, apart: bool = True) -> None:
+        """A form's content, clipped to its box; a transparency group on its own first, unless not wanted apart."""
         if depth >= MAX_FORMS:
             return
         saved, text, line = replace(self.state), self.text, self.line
@@ -283,18 +294,36 @@ class Painter(Interpreter):
         except FilterFault:
             data = b""
         under, group = self.bitmap, self.doc.get(v.dict.get("Group"))
-        apart = isinstance(group, dict) and (saved.fill_alpha < 1 or saved.mode_name != "Normal")
-        if apart:  # a transparency group is painted on its own, and then as a whole
+        apart = apart and isinstance(group, dict) and self.doc.get(group.get("S")) == "Transparency"
+        if apart:
             self.bitmap = raster.Bitmap.blank(*self.size, opaque=False)
+            if self.doc.get(group.get("K")) is True:
+                self.bitmap.touched = np.zeros(self.bitmap.alpha.shape, bool)
             self.state.fill_alpha = self.state.stroke_alpha = 1.0
-            self.state.mode_name = "Normal"
+            self.state.mode_name, self.state.soft = "Normal", None
         self.run(data, own if isinstance(own, dict) else resources, depth + 1)
         if apart:
             done, self.bitmap = self.bitmap, under
-            self.bitmap.paint(done.alpha * saved.fill_alpha, done.rgb, saved.mode_name)
+            seen = done.alpha if saved.soft is None else done.alpha * saved.soft
+            self.bitmap.paint(seen * saved.fill_alpha, done.rgb, saved.mode_name)
         self.state, self.text, self.line = saved, text, line
 
+    def soft_mask(self, held: Any, resources: dict, depth: int) -> np.ndarray | None:
+        """The luminosity of a mask's group, painted on black in the current space; None for other masks."""
+        get = self.doc.get
+        v = get(held.get("G")) if isinstance(held, dict) and get(held.get("S")) == "Luminosity" else None
+        if not isinstance(v, Stream):
+            return None
+        before = self.state, self.saved, self.bitmap, self.paths, self.closed
+        self.state = replace(self.state, soft=None, pattern=None, fill_pattern=False, fill_alpha=1.0, stroke_alpha=1.0, mode_name="Normal")
+        self.saved, self.paths, self.closed = [], [], []
+        mask = self.bitmap = raster.Bitmap(np.zeros(before[2].rgb.shape), np.ones(before[2].alpha.shape))
+        self.draw(v, resources, depth, apart=False)
+        self.state, self.saved, self.bitmap, self.paths, self.closed = before
+        return np.minimum(255, np.floor(np.rint(mask.rgb * 255) @ raster.LUMINANCE + 0.5)) / 255
+
     def image(self, v: Stream) -> None:
+        """An image by its nearest samples or, where it is reduced, by the means of boxes of samples."""
         try:
             w, h, rgb, alpha = decode_image(self.doc, v)
         except (FilterFault, ValueError, IndexError, KeyError) as e:
@@ -312,9 +341,18 @@ class Painter(Interpreter):
         px, py = np.meshgrid(np.arange(self.size[0]) + 0.5 - ox, np.arange(self.size[1]) + 0.5 - oy)
         u, t = back[0, 0] * px + back[0, 1] * py, back[1, 0] * px + back[1, 1] * py
         cols, rows = np.clip((u * w).astype(int), 0, w - 1), np.clip(((1 - t) * h).astype(int), 0, h - 1)
-        colours = np.broadcast_to(np.array(s.fill), (*mask.shape, 3)) if self.doc.get(v.dict.get("ImageMask")) is True else rgb[rows, cols] / 255.0
-        if alpha is not None:
+        stencil = self.doc.get(v.dict.get("ImageMask")) is True
+        high, wide = (min(BOX, max(1, int(n / max(1.0, abs(a) + abs(b)) + 0.5))) for n, a, b in ((h, *forward[1]), (w, *forward[0])))
+        if stencil and alpha is not None and (high > 1 or wide > 1):  # painted where at least half of a box is
+            mask = mask * (raster.box_means(2 * (alpha > 0), rows, cols, high, wide) >= 1)
+        elif alpha is not None:
             mask = mask * alpha[rows, cols] / 255.0
+        if stencil:
+            colours = np.broadcast_to(np.array(s.fill), (*mask.shape, 3))
+        elif high > 1 or wide > 1:
+            colours = np.stack([raster.box_means(rgb[..., i], rows, cols, high, wide) for i in range(3)], -1) / 255.0
+        else:
+            colours = rgb[rows, cols] / 255.0
         self.bitmap.paint(self.cover(mask, s.fill_alpha), colours, s.mode_name)
 
 
@@ -368,6 +406,9 @@ def _graphics(p: Painter, a: list, r: dict, d: int) -> None:
         mode = get(g.get("BM"))
         if mode is not None:
             s.mode_name = str(get(mode[0]) if isinstance(mode, list) and mode else mode)
+        mask = get(g.get("SMask"))
+        if mask is not None:
+            s.soft = p.soft_mask(mask, r, d)
 
 
 def _shade(p: Painter, a: list, r: dict, d: int) -> None:

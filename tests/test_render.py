@@ -60,6 +60,67 @@ def test_transparency():
     assert pixels(b"1 1 0 rg 0 0 40 30 re f /M gs 0 1 1 rg 0 0 40 30 re f", states)[5, 5].tolist() == [0, 255, 0]
 
 
+def group(content, **more):
+    return Stream({"Subtype": Name("Form"), "BBox": [0, 0, 40, 30], "Group": {"S": Name("Transparency"), **more}}, content)
+
+
+def test_groups_knockout_and_soft_masks():
+    half = {"H": {"ca": 0.5}}
+    overlap = b"/H gs 1 0 0 rg 0 0 20 30 re f 0 0 1 rg 10 0 20 30 re f"
+
+    def shown(g):
+        g = Stream({**g.dict, "Resources": {"ExtGState": half}}, g.raw)
+        return pixels(b"/F Do", {"XObject": {"F": g}})
+
+    plain, knocked = shown(group(overlap)), shown(group(overlap, K=True))
+    assert plain[5, 5].tolist() == knocked[5, 5].tolist() == [255, 127, 127]
+    assert plain[5, 25].tolist() == knocked[5, 25].tolist() == knocked[5, 15].tolist() == [127, 127, 255]
+    assert plain[5, 15].tolist() not in ([127, 127, 255], [255, 127, 127])  # both colours show
+
+    for level in (0, 51, 200, 255):
+        b = Builder()
+        masked = group(b"%.6f g 10 0 10 30 re f" % (level / 255))
+        mask = {"S": Name("Luminosity"), "G": masked}
+        held = b.add(masked)
+        pages = b.add({})
+        states = {"M": {"SMask": {**mask, "G": held}}, "N": {"SMask": Name("None")}, "A": {"SMask": {"S": Name("Alpha"), "G": held}}}
+        content = b.add(Stream({}, b"q /M gs 0 g 0 0 40 15 re f Q 0 g 0 15 5 15 re f"))
+        made = {"Type": Name("Page"), "Contents": content, "MediaBox": [0, 0, 40, 30], "Resources": {"ExtGState": states}}
+        b.objects[pages.num] = {"Type": Name("Pages"), "Kids": [b.add(made)], "Count": 1}
+        doc = Document(b.build(b.add({"Type": Name("Catalog"), "Pages": pages})))
+        got = np.rint(render_page(doc, next(doc.pages())).rgb * 255).astype(int)
+        assert (got[15:, 10:20] == 255 - level).all() and (got[15:, :10] == 255).all() and (got[15:, 20:] == 255).all()
+        assert (got[:15, :5] == 0).all()
+
+
+def test_blend_by_hue_and_lightness():
+    grey = np.full((1, 1, 3), 0.25)
+    red, blue = np.array([[[1.0, 0.0, 0.0]]]), np.array([[[0.0, 0.0, 1.0]]])
+    assert np.allclose(raster.MODES["Hue"](red, blue), blue) and np.allclose(raster.MODES["Color"](red, blue), blue)
+    assert np.allclose(raster.MODES["Luminosity"](red, grey), [[[0.5, 0, 0]]]) and np.allclose(raster.MODES["Luminosity"](grey, red), 0.5)
+    assert np.allclose(raster.MODES["Saturation"](red, grey), 0.3) and np.allclose(raster.MODES["Hue"](grey, red), 0.25)
+
+
+def test_reduced_images_are_means_of_boxes():
+    rng = np.random.RandomState(3)
+    plane = rng.randint(0, 256, (20, 30)).astype(np.uint8)
+    rows, cols = np.meshgrid(np.arange(20), np.arange(30), indexing="ij")
+    for high, wide in ((1, 1), (3, 2), (32, 32)):
+        got = raster.box_means(plane, rows, cols, high, wide)
+        for y, x in ((0, 0), (7, 11), (19, 29), (19, 0)):
+            part = plane[max(0, y - high // 2) : y - high // 2 + high, max(0, x - wide // 2) : x - wide // 2 + wide]
+            assert got[y, x] == part.astype(int).sum() // part.size
+    checks = (np.indices((40, 40)).sum(0) % 2 * 255).astype(np.uint8)
+    kind = {"Subtype": Name("Image"), "Width": 40, "Height": 40}
+    got = pixels(b"20 0 0 20 10 5 cm /I Do", {"XObject": {"I": Stream({**kind, "ColorSpace": Name("DeviceGray"), "BitsPerComponent": 8}, checks.tobytes())}})
+    assert (got[5:25, 10:30] == 127).all()
+    odd = np.indices((40, 40)) % 2
+    for ones, painted in ((odd[0] != odd[1], True), (odd[0] | odd[1], False)):  # a half and a quarter of each box are zeros, which are painted
+        stencil = Stream({**kind, "ImageMask": True, "BitsPerComponent": 1}, np.packbits(ones.astype(np.uint8), axis=1).tobytes())
+        got = pixels(b"1 0 0 rg 20 0 0 20 10 5 cm /I Do", {"XObject": {"I": stencil}})
+        assert (got[6:24, 11:29] == ([255, 0, 0] if painted else [255] * 3)).all()
+
+
 def test_forms_text_and_rotation():
     form = Stream({"Subtype": Name("Form"), "BBox": [0, 0, 5, 5], "Matrix": [1, 0, 0, 1, 10, 10]}, b"1 0 0 rg 0 0 100 100 re f")
     got = pixels(b"/F Do", {"XObject": {"F": form}})
