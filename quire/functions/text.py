@@ -77,3 +77,18 @@ def strip_subset_prefix(name: Column) -> Column:
 def bounded(value: Column, size: int) -> Column:
     """The first size - 1 bytes of a binary value."""
     return F.substring(value, 1, size - 1)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A number below 10^12 with so many decimals (3 at most), rounded by its exact binary value, halves to even.
+
+    Java's formatter rounds the shortest decimal form instead, and halves up: 2.625 is 2.63 there, and 2.62 here.
+    The number is split into two parts of few bits, whose products are exact, so that the sign of its distance
+    from the middle between two results is exact too. Null for null."""
+    scale, size = 10**digits, F.abs(x)
+    wide = size * 134217729.0
+    high = wide - (wide - size)
+    low, n = size - high, F.floor(size * scale)
+    over = (high * (2.0 * scale) - (2 * n + 1).cast("double")) + low * (2.0 * scale)
+    n = n + F.when((over > 0) | ((over == 0) & (n % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import escape_literal
+from ..functions.text import escape_literal, fixed
 
 #: Flag bits of a button field, of a read-only field, and of hidden annotations.
 RADIO, PUSH, READ_ONLY, HIDDEN, NO_VIEW = 0x8000, 0x10000, 0x1, 0x2, 0x20
@@ -57,13 +57,15 @@ def text_appearance(value: Column, width: Column, height: Column, font: Column,
     width, height = F.greatest(width, F.lit(1.0)), F.greatest(height, F.lit(1.0))
     pad = lambda v: F.when(v > 2.0, v - 2.0).otherwise(v)
     base = F.greatest(F.lit(1.0), (height - size) / 2.0)
-    shape = "/Tx BMC\nq\n1 1 %.2f %.2f re\nW n\nBT\n/%s %.2f Tf\n0 g\n2 %.2f Td\n(%s) Tj\nET\nQ\nEMC"
-    return F.format_string(shape, pad(width), pad(height), F.coalesce(font, F.lit("Helv")), size, base, escape_literal(value))
+    shape = "/Tx BMC\nq\n1 1 %s %s re\nW n\nBT\n/%s %s Tf\n0 g\n2 %s Td\n(%s) Tj\nET\nQ\nEMC"
+    numbers = [fixed(v, 2) for v in (pad(width), pad(height), size, base)]
+    return F.format_string(shape, *numbers[:2], F.coalesce(font, F.lit("Helv")), *numbers[2:], escape_literal(value))
 
 
 def square_appearance(x0: Column, y0: Column, x1: Column, y1: Column, rgb: tuple[float, float, float], line: float) -> Column:
     """The content stream of a rectangle's outline; null if it is empty."""
-    stream = F.format_string("%.3f w\n%.3f %.3f %.3f RG\n%.2f %.2f %.2f %.2f re\nS\n", F.lit(line), *[F.lit(float(v)) for v in rgb], x0, y0, x1 - x0, y1 - y0)
+    pen = "%.3f w\n%.3f %.3f %.3f RG\n" % (line, *rgb)
+    stream = F.format_string(pen + "%s %s %s %s re\nS\n", *[fixed(v, 2) for v in (x0, y0, x1 - x0, y1 - y0)])
     return F.when((x1 > x0) & (y1 > y0), stream)
 
 

@@ -107,8 +107,11 @@ def r_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r_content_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of each page's operations, in order, as a digest."""
     rows = reader.view(text_files(spark, sf_dir, "contents_array"), "content_ops")
-    return rows.groupBy(F.col("file_id").cast("bigint").alias("doc_id")).agg(F.count_if(F.col("opname") == "Tj").alias("shows"), F.count_if(F.col("opname") == "BT").alias("blocks"))
+    names = F.array_sort(F.collect_list(F.struct("seq", "opname")))
+    line = F.array_join(F.transform(names, lambda r: r.opname), " ")
+    return rows.groupBy(F.col("file_id").cast("bigint").alias("doc_id"), "page_index").agg(F.count("*").alias("n"), F.md5(line).alias("digest"))
 
 
 def p_render_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +129,7 @@ def _round_trip(make: Callable[[bytes], bytes]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)
         docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        docs = docs.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
         back = bytes_of(docs, lambda t: make(t.encode()), "doc_id", "text")
         return back.select(F.col("path").cast("bigint").alias("doc_id"), F.md5("content").alias("digest"))
 
@@ -141,14 +145,22 @@ def c_sha2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c_aes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files' layout, a vector and then padded blocks, is that of the built-in cipher."""
-    key, text = F.unhex(F.md5(F.col("doc_id").cast("string").cast("binary"))), F.col("text").cast("binary")
-    locked = F.aes_encrypt(text, key, F.lit("CBC"), F.lit("PKCS"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.try_aes_decrypt(locked, key, F.lit("CBC"), F.lit("PKCS"))).alias("digest"))
+    """What the built-in cipher locks, a vector and then padded blocks as in files, is opened by that of files."""
+    prepare(spark)
+    key, text = F.unhex(F.md5(F.col("doc_id").cast("string").cast("binary"))), F.coalesce("text", F.lit("")).cast("binary")
+    locked = table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), F.aes_encrypt(text, key, F.lit("CBC"), F.lit("PKCS")).alias("locked"))
+    locked = locked.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+    def opened(key: bytes, locked: bytes) -> bytes:
+        out = crypt.aes_decrypt(key, locked[:16], locked[16:])
+        return out[: -out[-1]]
+
+    back = bytes_of(locked, opened, "doc_id", "key", "locked")
+    return back.select(F.col("path").cast("bigint").alias("doc_id"), F.md5("content").alias("digest"))
 
 
 def k_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(escape_literal(F.col("text"))).cast("bigint").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(escape_literal(F.col("text"))).alias("digest"))
 
 
 def k_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,10 +301,11 @@ def a_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ROUND_TRIPS = {
     "c_ascii85": lambda b: filters.ascii85(base64.a85encode(b) + b"~>"),
+    "c_asciihex": lambda b: filters.ascii_hex(b.hex().encode() + b">"),
     "c_flate": lambda b: filters.flate(zlib.compress(b)),
     "c_rc4_roundtrip": lambda b: crypt.rc4(b"key" + b[:4], crypt.rc4(b"key" + b[:4], b)),
 }
-_VARIANTS = {"r_pdf_glyphs": "classic", "r_xref_stream": "xref_stream_predictor", "r_objstm": "objstm", "r_incremental": "incremental_2", "r_nested": "nested_pages", "r_inherited": "inherited_attrs", "r_type0": "type0_tounicode", "r_a85": "classic_a85_flate", "r_rc4": "rc4_128", "r_aes": "aesv2"}
+_VARIANTS = {"r_pdf_glyphs": "classic", "r_xref_stream": "xref_stream_predictor", "r_objstm": "objstm", "r_incremental": "incremental_2", "r_nested": "nested_pages", "r_inherited": "inherited_attrs", "r_type0": "type0_tounicode", "r_aes256": "aesv3", "r_a85": "classic_a85_flate", "r_rc4": "rc4_128", "r_aes": "aesv2"}
 
 QUERIES = (
     {n: _summary(v) for n, v in _VARIANTS.items()}
@@ -333,10 +346,12 @@ SELECT doc_id, page_index, CAST(CASE WHEN bad THEN 0 ELSE length(t) END AS BIGIN
        CASE WHEN bad THEN 'SYNTAX' ELSE 'OK' END AS status FROM r""",
         "r_pdf_pages": f"SELECT doc_id, CAST(ceil(({_LINES}) / 50.0) AS BIGINT) AS n_pages, 792.0::DOUBLE AS width, 612.0::DOUBLE AS height FROM documents",
         "r_files": f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE CAST(ceil(({_LINES}) / 50.0) AS INTEGER) END AS pages_declared, CASE WHEN doc_id % 3 = 0 THEN 'BADARG' ELSE 'OK' END AS status FROM documents",
-        "r_content_ops": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, CAST(sum(ceil(length(line) / 200.0)) AS BIGINT) AS shows, CAST(ceil(any_value(p) / 50.0) AS BIGINT) AS blocks FROM l JOIN (SELECT doc_id, {_LINES} AS p FROM documents) USING (doc_id) GROUP BY doc_id""",
+        "r_content_ops": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+p AS (SELECT doc_id, CAST(i // 50 AS INTEGER) AS page_index, i, CASE WHEN i % 50 = 0 THEN '' ELSE ' T*' END || repeat(' Tj', CAST(ceil(length(line) / 200.0) AS INTEGER)) AS ops FROM l),
+q AS (SELECT doc_id, page_index, 'BT Tf TL Td' || string_agg(ops, '' ORDER BY i) || ' ET' AS ops FROM p GROUP BY doc_id, page_index)
+SELECT doc_id, page_index, length(ops) - length(replace(ops, ' ', '')) + 1 AS n, md5(ops) AS digest FROM q""",
         "p_render_ppm": "SELECT c_custkey, 0 AS page_index, 612 AS width, 792 AS height, CAST(612 * 792 * 3 + 15 AS BIGINT) AS bytes, 'OK' AS status FROM customer",
-        "k_escape": "SELECT doc_id, length(text) + length(regexp_replace(text, '[^()\\\\]', '', 'g')) AS n FROM documents",
+        "k_escape": "SELECT doc_id, md5(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '(', chr(92) || '('), ')', chr(92) || ')')) AS digest FROM documents",
         "o_revision_merge": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 AND event_type <> 'error'",
         "o_free_mask": "SELECT CASE WHEN event_type = 'error' THEN 'free' ELSE 'offset' END AS kind, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 GROUP BY 1",
         "o_hybrid": """WITH l AS (SELECT user_id, -(event_id // 1000) AS section_rank, event_type = 'view' AS s, event_type = 'error' AS free, event_id FROM events),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from functools import cache
+from functools import cache, lru_cache
+
+import numpy as np
 
 from .syntax import Name
 
@@ -63,7 +65,7 @@ def _products(by: int) -> bytes:
     return bytes(_times(v, by) for v in range(256))
 
 
-@cache
+@lru_cache(64)
 def _schedule(key: bytes) -> list[bytes]:
     box, n, words = _boxes()[0], len(key) // 4, [key[i : i + 4] for i in range(0, len(key), 4)]
     round_constant = 1
@@ -83,10 +85,6 @@ _SHIFT = [0, 5, 10, 15, 4, 9, 14, 3, 8, 13, 2, 7, 12, 1, 6, 11]
 _UNSHIFT = [_SHIFT.index(i) for i in range(16)]
 
 
-def _xor(a: bytes, b: bytes) -> bytes:
-    return (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).to_bytes(len(a), "big")
-
-
 def _columns(state: bytes, factors: tuple[int, int, int, int]) -> bytes:
     tables = [_products(f) for f in factors]
     out = bytearray(16)
@@ -96,48 +94,55 @@ def _columns(state: bytes, factors: tuple[int, int, int, int]) -> bytes:
     return bytes(out)
 
 
-def _encrypt_block(keys: list[bytes], block: bytes) -> bytes:
-    box = _boxes()[0]
-    state = _xor(block, keys[0])
-    for k in keys[1:]:
-        state = bytes(box[state[i]] for i in _SHIFT)
-        if k is not keys[-1]:
-            state = _columns(state, (2, 3, 1, 1))
-        state = _xor(state, k)
-    return state
+@cache
+def _added() -> tuple[list[list[int]], list[list[int]]]:
+    """What each byte of a state, by its place and value, adds to the state after a round, and after the last one.
 
-
-def _decrypt_block(keys: list[bytes], block: bytes) -> bytes:
-    back = _boxes()[1]
-    state = block
-    for k in keys[:0:-1]:
-        state = _xor(state, k)
-        if k is not keys[-1]:
-            state = _columns(state, (14, 11, 13, 9))
-        state = bytes(back[state[i]] for i in _UNSHIFT)
-    return _xor(state, keys[0])
+    A round is linear but for its box, so it is the sum of what 16 bytes add; states are numbers of 128 bits."""
+    rounds, last = [], []
+    for i in range(16):
+        moved = [bytes(v if j == i else 0 for j in _SHIFT) for v in _boxes()[0]]
+        last.append([int.from_bytes(m, "big") for m in moved])
+        rounds.append([int.from_bytes(_columns(m, (2, 3, 1, 1)), "big") for m in moved])
+    return rounds, last
 
 
 def aes_encrypt(key: bytes, iv: bytes, data: bytes) -> bytes:
-    """CBC without padding."""
-    keys, out = _schedule(key), []
+    """CBC without padding; each block needs the one before."""
+    first, *keys = [int.from_bytes(k, "big") for k in _schedule(key)]
+    rounds, last = _added()
+    steps, out, state = [*((k, rounds) for k in keys[:-1]), (keys[-1], last)], [], int.from_bytes(iv, "big")
     for i in range(0, len(data), 16):
-        iv = _encrypt_block(keys, _xor(data[i : i + 16], iv))
-        out.append(iv)
+        state ^= int.from_bytes(data[i : i + 16], "big") ^ first
+        for k, added in steps:
+            before, state = state.to_bytes(16, "big"), k
+            for table, v in zip(added, before):  # noqa: B905 (both have 16 items; a check costs time)
+                state ^= table[v]
+        out.append(state.to_bytes(16, "big"))
     return b"".join(out)
 
 
 def aes_decrypt(key: bytes, iv: bytes, data: bytes) -> bytes:
-    """CBC, padding left on."""
-    keys, out = _schedule(key), []
-    for i in range(0, len(data), 16):
-        block = data[i : i + 16]
-        out.append(_xor(_decrypt_block(keys, block), iv))
-        iv = block
-    return b"".join(out)
+    """CBC, padding left on; all blocks at once, a part of a block at the end is left out."""
+    keys = [np.frombuffer(k, np.uint8) for k in _schedule(key)]
+    back, products = (np.frombuffer(x, np.uint8) for x in (_boxes()[1], b"".join(map(_products, (14, 11, 13, 9)))))
+    products = products.reshape(4, 256)
+    blocks = np.frombuffer(data[: len(data) // 16 * 16], np.uint8).reshape(-1, 16)
+    state = blocks
+    for k in keys[:0:-1]:
+        state = state ^ k
+        if k is not keys[-1]:
+            columns, state = state.reshape(-1, 4, 4), 0
+            for turn, table in enumerate(products):
+                state = state ^ table[np.roll(columns, -turn, 2)]
+            state = state.reshape(-1, 16)
+        state = back[state[:, _UNSHIFT]]
+    before = np.concatenate([np.frombuffer(iv, np.uint8).reshape(1, 16), blocks[:-1]]) if len(blocks) else blocks
+    return (state ^ keys[0] ^ before).tobytes()
 
 
-def _hash_v5(salt: bytes, revision: int, password: bytes = b"", extra: bytes = b"") -> bytes:
+@lru_cache(256)  # a file is opened for each of its tables
+def hash_v5(salt: bytes, revision: int, password: bytes = b"", extra: bytes = b"") -> bytes:
     k = hashlib.sha256(password + salt + extra).digest()
     done = 0
     while revision == 6:
@@ -185,9 +190,9 @@ class Crypt:
         user, wrapped = encrypt.get("U"), encrypt.get("UE")
         if not isinstance(user, bytes) or not isinstance(wrapped, bytes) or len(user) < 48 or len(wrapped) < 32:
             return
-        if _hash_v5(user[32:40], revision) != user[:32]:
+        if hash_v5(user[32:40], revision) != user[:32]:
             return
-        self.method, self.key = "aes256", aes_decrypt(_hash_v5(user[40:48], revision), bytes(16), wrapped[:32])
+        self.method, self.key = "aes256", aes_decrypt(hash_v5(user[40:48], revision), bytes(16), wrapped[:32])
 
     def object_key(self, num: int, gen: int) -> bytes:
         if self.method == "aes256":

@@ -7,7 +7,7 @@ import hashlib
 import zlib
 from typing import Any
 
-from .crypt import PAD, aes_encrypt, rc4
+from .crypt import PAD, aes_encrypt, hash_v5, rc4
 from .document import Document, Fault
 from .syntax import Name, Ref, Stream, serialise
 
@@ -166,6 +166,8 @@ def text_pdf(text: str, variant: str = "classic", widgets: list[dict] | None = N
     layout = {"xref_stream": "stream", "xref_stream_predictor": "predictor", "objstm": "objstm"}.get(variant, "table")
     if variant in ("rc4_40", "rc4_128", "aesv2"):
         return _encrypted(b, root, variant)
+    if variant in ("aesv3", "aesv3_r6"):
+        return _encrypted_v5(b, root, 6 if variant == "aesv3_r6" else 5)
     data = b.build(root, layout)
     if variant.startswith("incremental_"):
         doc = Document(data)
@@ -195,3 +197,18 @@ def _encrypted(b: Builder, root: Ref, variant: str) -> bytes:
         return iv + aes_encrypt(own, iv, raw + bytes([pad]) * pad)
 
     return b.build(root, "table", {"Encrypt": entry, "ID": [first, first]}, lock)
+
+
+def _encrypted_v5(b: Builder, root: Ref, revision: int) -> bytes:
+    """Encrypted by AES of 256 bits for the empty user password."""
+    key, salts = hashlib.sha256(b"key %d" % revision).digest(), b"validate" + b"key salt"
+    user = hash_v5(salts[:8], revision) + salts
+    wrapped = aes_encrypt(hash_v5(salts[8:], revision), bytes(16), key)
+    entry = {"Filter": Name("Standard"), "V": 5, "R": revision, "Length": 256, "P": -4, "O": bytes(48), "U": user, "OE": bytes(32), "UE": wrapped}
+    entry |= {"CF": {"StdCF": {"CFM": Name("AESV3"), "Length": 32}}, "StmF": Name("StdCF"), "StrF": Name("StdCF")}
+
+    def lock(n: int, raw: bytes) -> bytes:
+        iv, pad = hashlib.md5(b"%d" % n).digest(), 16 - len(raw) % 16
+        return iv + aes_encrypt(key, iv, raw + bytes([pad]) * pad)
+
+    return b.build(root, "table", {"Encrypt": entry, "ID": [salts, salts]}, lock)

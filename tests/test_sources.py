@@ -96,11 +96,13 @@ def test_ciphers():
     long = bytes(range(32))
     assert crypt.aes_encrypt(long, bytes(16), block).hex() == "8ea2b7ca516745bfeafc49904b496089"
     assert crypt.aes_decrypt(long, key, crypt.aes_encrypt(long, key, block * 3)) == block * 3
+    assert crypt.aes_decrypt(key, bytes(16), b"") == crypt.aes_encrypt(key, bytes(16), b"") == b""
+    assert crypt.aes_decrypt(key, bytes(16), bytes.fromhex("69c4e0d86a7b0430d8cdb78070b4c55a") + b"cut") == block
     assert crypt.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
     for revision in (5, 6):
         file_key, salts = bytes(range(32)), b"validate" + b"key salt"
-        user = crypt._hash_v5(salts[:8], revision) + salts
-        wrapped = crypt.aes_encrypt(crypt._hash_v5(salts[8:], revision), bytes(16), file_key)
+        user = crypt.hash_v5(salts[:8], revision) + salts
+        wrapped = crypt.aes_encrypt(crypt.hash_v5(salts[8:], revision), bytes(16), file_key)
         c = crypt.Crypt({"V": 5, "R": revision, "U": user, "UE": wrapped}, b"")
         assert (c.method, c.key) == ("aes256", file_key)
         assert c.decrypt(1, 0, key + crypt.aes_encrypt(file_key, key, b"text" + b"\x0c" * 12)) == b"text"

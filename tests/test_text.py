@@ -1,8 +1,10 @@
 """The golden cases of the text queries."""
 
+import random
+
 import pytest
 
-from quire.functions.text import fold_needle, match_starts, running_sums
+from quire.functions.text import fixed, fold_needle, match_starts, running_sums
 from quire.operators import glyphs as G
 from quire.sources.content import page_glyphs
 from quire.sources.document import Document
@@ -118,3 +120,14 @@ def test_positioned_text_operators():
     assert (by["z"].mode, by["z"].x0, by["z"].y0) == (3, 5.0, 288.0)
     assert by["q"].x0 == 100.0
     assert isinstance(Ref(1, 0), Ref)
+
+
+def test_fixed_decimals_of_exact_values(spark):
+    rng = random.Random(2)
+    values = [0.0, 2.625, 2.675, 2.665, 0.005, 1.005, 0.125, 0.375, 9.995, 1e9 + 0.125, 999.9951, None]
+    values += [rng.uniform(0, 10 ** rng.randrange(-2, 10)) for _ in range(300)] + [rng.randrange(10**6) / 1000 for _ in range(300)]
+    values += [-v for v in values[1:11]]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (1, 2, 3):
+        got = [r[0] for r in df.select(fixed(F.col("x"), digits)).collect()]
+        assert got == [None if v is None else f"{v:.{digits}f}" for v in values]
