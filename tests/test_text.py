@@ -6,6 +6,7 @@ import pytest
 
 from quire.functions.text import fixed, fold_needle, match_starts, running_sums
 from quire.operators import glyphs as G
+from quire.plans.text_queries import QUERIES
 from quire.sources.content import page_glyphs
 from quire.sources.document import Document
 from quire.sources.fonts import standard_width
@@ -131,3 +132,44 @@ def test_fixed_decimals_of_exact_values(spark):
     for digits in (1, 2, 3):
         got = [r[0] for r in df.select(fixed(F.col("x"), digits)).collect()]
         assert got == [None if v is None else f"{v:.{digits}f}" for v in values]
+
+
+def between_by_hand(rows, a, b):
+    """(page, lo, hi, x0, y0, x1, y1) of the lines between two points, from glyphs in order."""
+    out = []
+    for page in sorted({r[0] for r in rows}):
+        own = sorted(r for r in rows if r[0] == page)
+        i, j = sorted(min((abs(r[3] - y) * 1e6 + abs(r[2] + r[4] * 0.5 - x), r[1]) for r in own)[1] for x, y in (a, b))
+        lines = []
+        for r in (r for r in own if i <= r[1] <= j):
+            if not lines or lines[-1][-1][3] != r[3]:
+                lines.append([])
+            lines[-1].append(r)
+        out += [(page, k[0][1], k[-1][1], min(r[2] for r in k), min(r[3] - r[5] * 0.8 for r in k), max(r[2] + r[4] for r in k), max(r[3] + r[5] * 0.2 for r in k)) for k in lines]
+    return out
+
+
+def test_between_points_on_lines_that_come_back(spark):
+    """Lines of one y0 that follow others, columns, ties and gaps in the indices: as by going through the glyphs."""
+    rnd, rows = random.Random(3), []
+    for page in range(60):
+        index, y = 0, 0.0
+        for _ in range(rnd.randint(1, 60)):
+            index += rnd.choice([1, 1, 3])
+            y = y if rnd.random() < 0.7 else y + 10 if page % 2 else rnd.choice([0.0, -0.0, 10.0, 20.0])
+            rows.append((page, index, float(rnd.choice([5, 10, 20, 35])), y, rnd.choice([4.0, 6.0]), rnd.choice([8.0, 12.0])))
+    rnd.shuffle(rows)
+    glyphs = spark.createDataFrame(rows, "page int, glyph_idx int, x0 double, y0 double, advance double, height double")
+    for a, b in (((12.0, 3.0), (23.0, 18.0)), ((99.0, 99.0), (0.0, 0.0)), ((13.0, 10.0), (13.0, 10.0))):
+        got = sorted(tuple(r) for r in G.between_points(glyphs, ["page"], a, b).collect())
+        assert got == sorted(between_by_hand(rows, a, b))
+    assert not G.between_points(glyphs.where("page < 0"), ["page"], (1.0, 1.0), (2.0, 2.0)).collect()
+
+
+def test_between_glyphs_neither_sorts_nor_shuffles_them(spark):
+    """Joins and aggregates by hash tables, one shuffle of texts; sorted and shuffled glyphs took over 7 times the input."""
+    q = QUERIES["t_between_glyphs"](spark, "/root/testdata/sf0.001")
+    assert len(q.collect()) == len(QUERIES["t_between_points"](spark, "/root/testdata/sf0.001").collect())
+    plan = q._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan and "glyph_idx ASC" not in plan
+    assert plan.count("Generate posexplode(split") == 3 and plan.count("ReusedExchange") == 2
